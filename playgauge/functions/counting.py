@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from playgauge.config import DEFAULT, Outcomes
+from playgauge.functions.exact import as_column
 
 
 def outcome_counts(
@@ -38,18 +39,14 @@ def with_distinct_counts(
     by id, so a hot key does not land in one task, and counted after that. The
     aggregate itself shuffles only one row per key and map task.
     """
-    ids = source.select(
-        *keys,
-        *(
-            (F.col(value) if isinstance(value, str) else value).cast("bigint").alias(alias)
-            for alias, value in counted.items()
-        ),
-    ).unpivot(list(keys), list(counted), "kind", "id")
+    values = [as_column(value).cast("bigint") for value in counted.values()]
+    pairs = [part for kind, value in enumerate(values) for part in (F.lit(kind), value)]
+    ids = source.select(*keys, F.stack(F.lit(len(values)), *pairs).alias("kind", "id"))
     counts = (
         ids.filter(F.col("id").isNotNull())
         .distinct()
         .groupBy(*keys)
-        .agg(*(F.count_if(F.col("kind") == alias).alias(alias) for alias in counted))
+        .agg(*(F.count_if(F.col("kind") == kind).alias(alias) for kind, alias in enumerate(counted)))
     )
     if not keys:
         return aggregated.withColumns({alias: counts.select(alias).scalar() for alias in counted})

@@ -58,9 +58,8 @@ def _dq_fk_orphans(r: Roles) -> DataFrame:
 
 
 def _dq_fk_summary(r: Roles) -> DataFrame:
-    tables = {**r.tables(), "events": r.source("events"), "supplier": r.source("supplier")}
     extra = quality.Reference("events", "user_id", "supplier", "s_suppkey")
-    return quality.orphan_summary(tables, [*quality.STANDARD_REFERENCES, extra])
+    return quality.orphan_summary(r, [*quality.STANDARD_REFERENCES, extra])
 
 
 def _dq_orphan_multi_parent(r: Roles) -> DataFrame:
@@ -75,7 +74,7 @@ def _dq_orphan_multi_parent(r: Roles) -> DataFrame:
 
 
 def _dq_null_profile(r: Roles) -> DataFrame:
-    parts = [quality.null_profile(r.tables()[n], TABLES[n]) for n in ("accounts", "content_attempts", "reward_logs")]
+    parts = [quality.null_profile(r[n], TABLES[n]) for n in ("accounts", "content_attempts", "reward_logs")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
@@ -115,15 +114,15 @@ def _segments(r: Roles, mode: str = "latest") -> DataFrame:
 
 
 _QUERIES: dict[str, Callable[[Roles], DataFrame]] = {
-    "dq_rules": lambda r: quality.run_rules(r.tables(), quality.standard_rules(PLAY_MINUTES_CAP)),
+    "dq_rules": lambda r: quality.run_rules(r, quality.standard_rules(PLAY_MINUTES_CAP)),
     "dq_reward_on_failed": lambda r: quality.reward_on_failed(r.reward_logs, r.content_attempts),
     "dq_orphan_multi_parent": _dq_orphan_multi_parent,
     "dq_fk_orphans": _dq_fk_orphans,
     "dq_fk_summary": _dq_fk_summary,
     "dq_pk_duplicates": lambda r: quality.pk_duplicates(r.source("lineitem"), ["l_orderkey", "l_linenumber"]),
     "dq_null_profile": _dq_null_profile,
-    "table_row_counts": lambda r: profile.row_counts(r.tables(), sort=True),
-    "date_spans": lambda r: profile.date_spans(profile.standard_date_sources(r.tables())),
+    "table_row_counts": lambda r: profile.row_counts(r, sort=True),
+    "date_spans": lambda r: profile.date_spans(profile.standard_date_sources(r)),
     "population_summary": lambda r: profile.population_summary(r.accounts, r.characters),
     "daily_kpis": lambda r: profile.daily_kpis(r.daily_activity),
     "daily_result_distribution": lambda r: profile.daily_result_distribution(r.content_attempts),

@@ -6,6 +6,7 @@ table, so scans keep their column pruning and filter pushdown.
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Mapping
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,20 +14,61 @@ from pyspark.sql import functions as F
 
 TIERS = ("easy", "normal", "hard", "mythic")
 
+# Declared, so that opening a table starts no job to read its schema.
+SOURCES = {
+    "region": "r_regionkey INT, r_name STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
+    "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE",
+    "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, p_retailprice DOUBLE",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE,"
+    " o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE,"
+    " l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, l_returnflag STRING, l_linestatus STRING,"
+    " l_shipdate TIMESTAMP_NTZ",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
+}
+
+NAMES = (
+    "accounts",
+    "characters",
+    "daily_activity",
+    "content_master",
+    "content_design_goals",
+    "content_attempts",
+    "boss_pattern_logs",
+    "reward_logs",
+    "enhancement_logs",
+    "payments",
+)
+
 
 def _by_tier(*values: str) -> str:
     cases = " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values))
     return f"CASE n_nationkey % 4 {cases} END"
 
 
-class Roles:
-    """Role views of one data folder, built on first use."""
+class Roles(Mapping[str, DataFrame]):
+    """Role views of one data folder by table name, built on first use."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self._spark, self._folder = spark, folder
 
     def source(self, name: str) -> DataFrame:
-        return self._spark.read.parquet(f"{self._folder}/{name}.parquet")
+        return self._spark.read.schema(SOURCES[name]).parquet(f"{self._folder}/{name}.parquet")
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name in NAMES:
+            return getattr(self, name)
+        if name in SOURCES:
+            return self.source(name)
+        raise KeyError(name)
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(NAMES)
+
+    def __len__(self) -> int:
+        return len(NAMES)
 
     @cached_property
     def accounts(self) -> DataFrame:
@@ -181,18 +223,3 @@ class Roles:
             "CASE event_id % 10 WHEN 0 THEN ts - make_dt_interval(1) WHEN 1 THEN ts + make_dt_interval(1) END"
             " AS refund_at",
         )
-
-    def tables(self) -> dict[str, DataFrame]:
-        names = (
-            "accounts",
-            "characters",
-            "daily_activity",
-            "content_master",
-            "content_design_goals",
-            "content_attempts",
-            "boss_pattern_logs",
-            "reward_logs",
-            "enhancement_logs",
-            "payments",
-        )
-        return {name: getattr(self, name) for name in names}
