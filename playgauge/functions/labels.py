@@ -281,6 +281,7 @@ def localize(df: DataFrame, operator: str, code: str = "") -> DataFrame:
     operators without a published label keep their names.
     """
     for column, labels in VALUES.get(operator, {}).items():
-        df = df.replace(labels, subset=[column])
+        if column in df.columns:
+            df = df.replace(labels, subset=[column])
     headers = {name: header.format(code=code) for name, header in HEADERS.get(operator, {}).items()}
     return df.withColumnsRenamed(headers)

@@ -95,19 +95,40 @@ def health_gap(
     target_mode: str = "latest",
 ) -> DataFrame:
     """Rates, gaps to the goals and a status for every active content."""
+    base = gap_base(attempts, activity, characters, content, goals, rewards, start, end, settings, target_mode)
+    return assess_gaps(base, settings)
+
+
+def gap_base(
+    attempts: DataFrame,
+    activity: DataFrame,
+    characters: DataFrame,
+    content: DataFrame,
+    goals: DataFrame,
+    rewards: DataFrame,
+    start: date,
+    end: date,
+    settings: Settings = DEFAULT,
+    target_mode: str = "latest",
+) -> DataFrame:
+    """Active contents with what they reached in the window and their goals."""
     eligible = eligible_by_content(activity, characters, content, start, end)
     tried = attempt_summary(attempts, start, end, settings)
     paid = reward_summary(rewards, start, end).select("content_id", "avg_reward_value")
     targets = targets_asof(goals, as_of=end, mode=target_mode)
-    joined = (
+    return (
         content.filter(F.col("is_active") == 1)
         .join(eligible, "content_id", "left")
         .join(tried, "content_id", "left")
         .join(paid, "content_id", "left")
         .join(targets, ["content_id", "difficulty"], "left")
     )
+
+
+def assess_gaps(base: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """Rates, gaps and status; a content without attempts has a NULL attempt count in ``base``."""
     no_data = F.col("total_attempt_count").isNull()
-    base = joined.withColumn("_no_data", no_data).withColumns(
+    base = base.withColumn("_no_data", no_data).withColumns(
         zero_if_missing(
             "eligible_character_count",
             "recommended_ready_character_count",

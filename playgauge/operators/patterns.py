@@ -128,6 +128,7 @@ def pattern_incidence_by_band(
     )
     per_character = (
         attempts.filter(F.col("content_id") == content_id)
+        .select("attempt_id", "content_id", "character_id", "result")
         .join(incident, "attempt_id", "left")
         .groupBy("content_id", "character_id")
         .agg(

@@ -33,6 +33,19 @@ def rewards_per_attempt(rewards: DataFrame) -> DataFrame:
     )
 
 
+def _timed(attempts: DataFrame) -> DataFrame:
+    return attempts.select(
+        "attempt_id",
+        "content_id",
+        "character_id",
+        "result",
+        "clear_time_sec",
+        "death_count",
+        "reward_claimed",
+        attempt_duration().alias("duration_sec"),
+    )
+
+
 def reward_by_result(
     attempts: DataFrame,
     rewards: DataFrame,
@@ -45,12 +58,12 @@ def reward_by_result(
     Only rewards tagged with the content count. With ``characters`` given,
     attempts of unknown characters are left out.
     """
-    base = attempts.filter(F.col("content_id") == content_id)
+    base = _timed(attempts.filter(F.col("content_id") == content_id))
     if characters is not None:
         base = base.join(characters.select("character_id"), "character_id", "left_semi")
     paid = rewards_per_attempt(rewards.filter(F.col("content_id") == content_id))
     value = F.coalesce(F.col("reward_value"), F.lit(0))
-    rows = base.withColumn("duration_sec", attempt_duration()).join(paid, "attempt_id", "left")
+    rows = base.join(paid, "attempt_id", "left")
     grouped = rows.groupBy("result").agg(
         F.count("*").alias("attempt_count"),
         F.count_distinct("character_id").alias("character_count"),
@@ -74,12 +87,10 @@ def reward_by_result(
 
 def _paid_attempts(attempts: DataFrame, rewards: DataFrame, content: DataFrame) -> DataFrame:
     """Attempts of the given contents with the value of all their rewards."""
-    chosen = attempts.join(content.select("content_id"), "content_id", "left_semi")
+    chosen = _timed(attempts).join(content.select("content_id"), "content_id", "left_semi")
     paid = rewards_per_attempt(rewards).select("attempt_id", F.col("reward_value").alias("paid"))
-    return (
-        chosen.withColumn("duration_sec", attempt_duration())
-        .join(paid, "attempt_id", "left")
-        .withColumn("reward_value", F.coalesce(F.col("paid"), F.lit(0)))
+    return chosen.join(paid, "attempt_id", "left").withColumn(
+        "reward_value", F.coalesce(F.col("paid"), F.lit(0))
     )
 
 
