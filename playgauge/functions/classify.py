@@ -47,5 +47,5 @@ def difficulty_order(difficulty: Column | str) -> Column:
 
 
 def line_name(content_name: Column | str) -> Column:
-    """Content name without its tier suffix."""
-    return F.regexp_replace(as_column(content_name), TIER_SUFFIX_PATTERN, "")
+    """Content name without its tier suffix. Patterns need a plain text column, so a collation is dropped."""
+    return F.regexp_replace(F.collate(as_column(content_name), "UTF8_BINARY"), TIER_SUFFIX_PATTERN, "")

@@ -33,11 +33,16 @@ _ATTRIBUTES = (
 _EFFORT = ("death_count", "revive_count", "potion_used_count", "party_member_count")
 
 
-def content_health(attempts: DataFrame, content: DataFrame, outcomes: Outcomes = DEFAULT.outcomes) -> DataFrame:
+def content_health(
+    attempts: DataFrame,
+    content: DataFrame,
+    outcomes: Outcomes = DEFAULT.outcomes,
+    max_error: float | None = None,
+) -> DataFrame:
     """Attempts, participants, outcomes and averages of every attempted content.
 
     Facts are grouped by content id alone; the descriptive columns join the
-    result, one row per content.
+    result, one row per content. ``max_error`` allows estimated participants.
     """
     cleared = F.col("result") == outcomes.clear
     facts = attempts.groupBy("content_id").agg(
@@ -47,7 +52,7 @@ def content_health(attempts: DataFrame, content: DataFrame, outcomes: Outcomes =
         *(rounded(mean_of(c)).alias(f"avg_{c}") for c in _EFFORT),
         F.count_if(F.col("reward_claimed") == 1).alias("reward_claimed_count"),
     )
-    facts = with_distinct_counts(facts, attempts, ["content_id"], _PARTICIPANTS)
+    facts = with_distinct_counts(facts, attempts, ["content_id"], _PARTICIPANTS, max_error)
     rates = [
         rate_pct(count, "total_attempt_count").alias(f"{outcome}_rate_pct")
         for outcome, count in _COUNTS.items()

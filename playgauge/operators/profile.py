@@ -94,8 +94,8 @@ def population_summary(accounts: DataFrame, characters: DataFrame, active_status
     return totals.select(*ordered, per.alias("avg_character_count_per_account"), *averages)
 
 
-def daily_kpis(activity: DataFrame) -> DataFrame:
-    """One row per activity day."""
+def daily_kpis(activity: DataFrame, max_error: float | None = None) -> DataFrame:
+    """One row per activity day; ``max_error`` allows estimated user counts."""
     summed = {
         "login_count": "total_login_count",
         "session_count": "total_session_count",
@@ -115,6 +115,7 @@ def daily_kpis(activity: DataFrame) -> DataFrame:
         activity,
         ["activity_date"],
         {"dau": "account_id", "active_character_count": "character_id"},
+        max_error,
     )
     totals = list(summed.values())
     return days.select(

@@ -46,8 +46,13 @@ def active_population(activity: DataFrame, characters: DataFrame, attempts: Data
     )
 
 
-def usage_facts(attempts: DataFrame, outcomes: Outcomes = DEFAULT.outcomes) -> DataFrame:
-    """Attempts, participants, outcomes, averages and first and last day per content."""
+def usage_facts(
+    attempts: DataFrame, outcomes: Outcomes = DEFAULT.outcomes, max_error: float | None = None
+) -> DataFrame:
+    """Attempts, participants, outcomes, averages and first and last day per content.
+
+    ``max_error`` allows estimated participants and parties.
+    """
     cleared = F.col("result") == outcomes.clear
     facts = attempts.groupBy("content_id").agg(
         F.count("*").alias("attempt_count"),
@@ -59,7 +64,7 @@ def usage_facts(attempts: DataFrame, outcomes: Outcomes = DEFAULT.outcomes) -> D
         F.min("attempt_started_at").cast("date").alias("first_attempt_date"),
         F.max("attempt_started_at").cast("date").alias("last_attempt_date"),
     )
-    return with_distinct_counts(facts, attempts, ["content_id"], _COUNTED)
+    return with_distinct_counts(facts, attempts, ["content_id"], _COUNTED, max_error)
 
 
 def content_base(content: DataFrame, targets: DataFrame, facts: DataFrame, population: DataFrame) -> DataFrame:

@@ -6,7 +6,6 @@ from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from playgauge.operators import (
@@ -40,17 +39,16 @@ LOOKUP_IDS = (1, 20, 24)
 def plain_types(df: DataFrame) -> DataFrame:
     """Decimals as double, integers as bigint and dates as ISO text, for comparison across engines."""
 
-    def plain(field: T.StructField):
-        column = F.col(field.name)
+    def plain(field: T.StructField) -> str:
         if isinstance(field.dataType, T.DecimalType):
-            return column.cast("double").alias(field.name)
+            return f"CAST({field.name} AS DOUBLE) AS {field.name}"
         if isinstance(field.dataType, T.IntegralType):
-            return column.cast("bigint").alias(field.name)
+            return f"CAST({field.name} AS BIGINT) AS {field.name}"
         if isinstance(field.dataType, T.DateType):
-            return column.cast("string").alias(field.name)
-        return column
+            return f"CAST({field.name} AS STRING) AS {field.name}"
+        return field.name
 
-    return df.select(*(plain(field) for field in df.schema.fields))
+    return df.selectExpr(*(plain(field) for field in df.schema.fields))
 
 
 def _dq_fk_orphans(r: Roles) -> DataFrame:

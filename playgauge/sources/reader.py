@@ -22,10 +22,6 @@ class CheckedLoad:
     rejected: DataFrame
 
 
-def read_parquet(spark: SparkSession, name: str, path: str) -> DataFrame:
-    return spark.read.parquet(path)
-
-
 def read_csv(
     spark: SparkSession,
     name: str,
@@ -102,16 +98,31 @@ def _checks(column: Col) -> list[Column]:
     return checks
 
 
-def read_table(spark: SparkSession, name: str, path: str, fmt: str = "parquet") -> DataFrame:
+def with_collation(df: DataFrame, collation: str = "UNICODE_CI_AI") -> DataFrame:
+    """The same table with text columns that compare, join and group by ``collation``.
+
+    ``UNICODE_CI_AI`` ignores case and accents; ``UTF8_LCASE`` ignores case and is cheaper.
+    """
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    return df.withColumns({name: F.collate(name, collation) for name in texts})
+
+
+def read_table(
+    spark: SparkSession, name: str, path: str, fmt: str = "parquet", collation: str | None = None
+) -> DataFrame:
     """Accepted rows of one declared table."""
     if fmt == "csv":
-        return read_csv(spark, name, path).accepted
-    if fmt == "parquet":
-        return read_parquet(spark, name, path)
-    raise ValueError(f"unknown format {fmt!r}")
+        df = read_csv(spark, name, path).accepted
+    elif fmt == "parquet":
+        df = spark.read.parquet(path)
+    else:
+        raise ValueError(f"unknown format {fmt!r}")
+    return df if collation is None else with_collation(df, collation)
 
 
-def read_tables(spark: SparkSession, root: str, fmt: str = "parquet") -> dict[str, DataFrame]:
+def read_tables(
+    spark: SparkSession, root: str, fmt: str = "parquet", collation: str | None = None
+) -> dict[str, DataFrame]:
     """All declared tables below one folder, named after the tables."""
     suffix = ".csv" if fmt == "csv" else ""
-    return {name: read_table(spark, name, f"{root}/{name}{suffix}", fmt) for name in TABLES}
+    return {name: read_table(spark, name, f"{root}/{name}{suffix}", fmt, collation) for name in TABLES}

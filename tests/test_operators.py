@@ -5,6 +5,7 @@ from decimal import Decimal as D
 
 import game
 import pytest
+from pyspark.sql import functions as F
 
 from playgauge.operators import (
     difficulty,
@@ -21,6 +22,7 @@ from playgauge.operators import (
     targets,
     usage,
 )
+from playgauge.sources.reader import with_collation
 
 MAY = (date(2026, 5, 1), date(2026, 5, 31))
 
@@ -460,3 +462,26 @@ def test_pattern_incidence(g):
     assert (low.pattern_rate_pct, low.pattern_per_fail_pct) == (D("100.00"), D("200.00"))
     assert rows["02_80_to_100"].pattern_per_fail_pct is None  # no fails
     assert rows["05_120_and_over"].pattern_attempt_count == 0
+
+
+# ------------------------------------------------------------------ options
+
+
+@pytest.mark.parametrize("collation", ["UTF8_LCASE", "UNICODE_CI_AI"])
+def test_collation_ignores_case(g, collation):
+    shouted = g.attempts.withColumn("result", F.upper("result"))
+    assert health.content_health(shouted, g.content).agg(F.sum("clear_attempt_count")).first()[0] == 0
+    loose = [with_collation(df, collation) for df in (shouted, g.characters, g.content, g.goals)]
+    counted = health.content_health(loose[0], loose[2])
+    assert by(counted, "content_id")[1].clear_rate_pct == D("33.33")
+    df = usage.usage_overview(loose[0], g.activity, loose[1], loose[2], loose[3])
+    assert by(df, "content_id")[1].content_line_name == "Cave"
+    assert by(df, "content_id")[1].target_clear_rate == D("70.00")
+
+
+def test_estimated_participants(g):
+    exact = by(health.content_health(g.attempts, g.content), "content_id")
+    near = by(health.content_health(g.attempts, g.content, max_error=0.01), "content_id")
+    assert {k: v.participant_character_count for k, v in near.items()} == {
+        k: v.participant_character_count for k, v in exact.items()}  # exact for so few
+    assert by(profile.daily_kpis(g.activity, max_error=0.01), "activity_date")[date(2026, 5, 13)].dau == 2

@@ -5,7 +5,7 @@ import re
 import pytest
 from conftest import plan_of
 
-from playgauge.operators import eligibility, gap, quality, segments
+from playgauge.operators import eligibility, gap, quality, segments, targets, usage
 from playgauge.plans.catalog import WINDOW_END, WINDOW_START, registered
 from playgauge.plans.roles import Roles
 
@@ -64,3 +64,22 @@ def test_one_shuffle_of_attempts_for_the_gap_summary(roles):
     plan = plan_of(gap.attempt_summary(roles.content_attempts, WINDOW_START, WINDOW_END))
     assert plan.count("Exchange hashpartitioning") == 2  # content and character, then content
     assert "Expand" not in plan
+
+
+def test_newest_versions_are_cut_before_the_shuffle(roles):
+    ties = plan_of(targets.targets_asof(roles.content_design_goals, mode="latest_ties"))
+    assert ties.index("WindowGroupLimit") < ties.index("Exchange") < ties.rindex("WindowGroupLimit")
+    newest = plan_of(targets.targets_asof(roles.content_design_goals))
+    assert "partial_max_by" in newest and "Window" not in newest
+
+
+def test_distinct_counts_travel_narrow(roles):
+    plan = plan_of(usage.usage_facts(roles.content_attempts))
+    assert "Expand" not in plan
+    ids = [line for line in plan.splitlines() if "Exchange hashpartitioning(content_id" in line]
+    assert any("kind" in line and "id" in line for line in ids)
+
+
+def test_period_is_a_scalar_subquery(roles):
+    plan = plan_of(usage.active_population(roles.daily_activity, roles.characters, roles.content_attempts))
+    assert "Subquery" in plan and "start_date" in plan
