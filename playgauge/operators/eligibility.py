@@ -101,27 +101,29 @@ def threshold_counts(
         .alias("power_rank"),
     )
     # A cell counts for every level edge up to its own; nothing asks for rank 0.
-    reached = cells.select(F.explode(F.sequence(F.lit(0), "level_rank")).alias("level_rank"), "power_rank", "n")
-    questions = ranked.select("level_rank", "power_rank").distinct().withColumn("n", F.lit(0).cast("bigint"))
+    reached = (
+        cells.select(F.explode(F.sequence(F.lit(0), "level_rank")).alias("level_rank"), "power_rank", "n")
+        .groupBy("level_rank", "power_rank")
+        .agg(F.sum("n").alias("n"))
+    )
     from_here_up = (
         Window.partitionBy("level_rank")
         .orderBy(F.col("power_rank").desc())
         .rangeBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    answers = (
-        reached.unionByName(questions)
-        .groupBy("level_rank", "power_rank")
-        .agg(F.sum("n").alias("n"))
-        .withColumn("n", F.sum("n").over(from_here_up))
+    # The asks run along in the window with a count of nothing and read the sum there;
+    # a missing requirement has no rank and is met by nobody.
+    known = F.col("level_rank").isNotNull() & F.col("power_rank").isNotNull()
+    answered = (
+        ranked.withColumn("n", F.lit(0).cast("bigint"))
+        .unionByName(reached, allowMissingColumns=True)
+        .withColumn("n", F.when(known, F.sum("n").over(from_here_up)))
+        .filter(F.col("content_id").isNotNull())
     )
-    return (
-        ranked.join(answers, ["level_rank", "power_rank"], "left")
-        .groupBy("content_id")
-        .agg(
-            *(
-                F.coalesce(F.max(F.when(F.col("requirement") == name, F.col("n"))), F.lit(0)).alias(name)
-                for name in requirements
-            )
+    return answered.groupBy("content_id").agg(
+        *(
+            F.coalesce(F.max(F.when(F.col("requirement") == name, F.col("n"))), F.lit(0)).alias(name)
+            for name in requirements
         )
     )
 
