@@ -8,6 +8,8 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from playgauge.config import DEFAULT
+from playgauge.functions.exact import rounded
 from playgauge.operators import (
     difficulty,
     eligibility,
@@ -111,6 +113,12 @@ def _segments(r: Roles, mode: str = "latest") -> DataFrame:
     )
 
 
+def _rounded(df: DataFrame) -> DataFrame:
+    """Stages keep unrounded means; for comparison they are rounded like the final results."""
+    means = [f.name for f in df.schema.fields if isinstance(f.dataType, T.DecimalType) and f.dataType.scale > 4]
+    return df.withColumns({name: rounded(name) for name in means})
+
+
 _QUERIES: dict[str, Callable[[Roles], DataFrame]] = {
     "dq_rules": lambda r: quality.run_rules(r, quality.standard_rules(PLAY_MINUTES_CAP)),
     "dq_reward_on_failed": lambda r: quality.reward_on_failed(r.reward_logs, r.content_attempts),
@@ -129,14 +137,21 @@ _QUERIES: dict[str, Callable[[Roles], DataFrame]] = {
     "content_health": _health,
     "content_health_rollup": lambda r: health.health_rollup(_health(r)),
     "worst_contents": lambda r: health.worst_contents(_health(r)),
+    "active_characters": lambda r: eligibility.active_characters(
+        r.daily_activity, r.characters, WINDOW_START, WINDOW_END
+    ).select("character_id", "account_id", "level", "combat_power"),
     "eligible_by_content": lambda r: eligibility.eligible_by_content(
         r.daily_activity, r.characters, r.content_master, WINDOW_START, WINDOW_END
     ),
+    "attempt_summary": lambda r: _rounded(gap.attempt_summary(r.content_attempts, WINDOW_START, WINDOW_END)),
+    "reward_summary": lambda r: _rounded(gap.reward_summary(r.reward_logs, WINDOW_START, WINDOW_END)),
     "retry_summary": lambda r: gap.retry_summary(r.content_attempts, WINDOW_START, WINDOW_END),
     "content_health_gap": _gap,
     "content_health_gap_all_targets": lambda r: _gap(r, "all"),
     "target_lookup": lambda r: targets.target_lookup(r.content_master, r.content_design_goals, LOOKUP_IDS),
     "targets_asof": lambda r: targets.targets_asof(r.content_design_goals, as_of=WINDOW_END),
+    "analysis_period": lambda r: usage.analysis_period(r.content_attempts),
+    "usage_facts": lambda r: usage.usage_facts(r.content_attempts),
     "active_population": lambda r: usage.active_population(r.daily_activity, r.characters, r.content_attempts),
     "content_usage_overview": _usage,
     "content_usage_overview_all_targets": lambda r: _usage(r, "all"),
@@ -145,11 +160,13 @@ _QUERIES: dict[str, Callable[[Roles], DataFrame]] = {
         r.content_attempts, r.content_master, r.content_design_goals
     ),
     "eligible_characters": lambda r: eligibility.eligible_characters(r.content_master, r.characters),
+    "challengers": lambda r: participation.challengers(r.content_attempts, r.content_master, r.characters),
     "eligible_participation": lambda r: participation.eligible_participation(
         r.content_attempts, r.content_master, r.characters
     ),
     "power_segments": _segments,
     "power_segments_all_targets": lambda r: _segments(r, "all"),
+    "rewards_per_attempt": lambda r: rewards.rewards_per_attempt(r.reward_logs),
     "reward_by_result": lambda r: rewards.reward_by_result(
         r.content_attempts, r.reward_logs, FOCUS_CONTENT, r.characters
     ),
@@ -165,6 +182,9 @@ _QUERIES: dict[str, Callable[[Roles], DataFrame]] = {
     "band_performance": lambda r: segments.band_performance(
         r.content_attempts, r.characters, r.content_master, r.content_design_goals, FOCUS_CONTENT
     ),
+    "pattern_attempts": lambda r: _rounded(
+        patterns.pattern_attempts(r.boss_pattern_logs, r.content_attempts, FOCUS_CONTENT, DEFAULT.outcomes)
+    ).drop("failed"),
     "pattern_impact": lambda r: patterns.pattern_impact(r.boss_pattern_logs, r.content_attempts, FOCUS_CONTENT),
     "pattern_by_result": lambda r: patterns.pattern_by_result(
         r.boss_pattern_logs, r.content_attempts, FOCUS_CONTENT, FOCUS_PATTERN

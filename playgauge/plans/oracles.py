@@ -475,6 +475,35 @@ _RETRY = f"""
     GROUP BY content_id"""
 
 
+def _active_characters() -> str:
+    return _with("characters activity") + f"""
+        SELECT character_id, account_id, {_n('level')} AS level, {_f('combat_power')} AS combat_power
+        FROM characters WHERE is_deleted = 0 AND EXISTS (
+            SELECT 1 FROM activity a WHERE a.character_id = characters.character_id AND activity_date {_IN_WINDOW})"""
+
+
+def _attempt_summary() -> str:
+    averages = ", ".join(
+        f"{_r(f'AVG({c})')} AS avg_{c}"
+        for c in ("death_count", "revive_count", "potion_used_count", "party_member_count")
+    )
+    return _with("attempts", retry=_RETRY) + f"""
+        SELECT content_id, COUNT(*) AS total_attempt_count,
+               COUNT(DISTINCT character_id) AS participant_character_count,
+               ANY_VALUE(retry_character_count) AS retry_character_count, {_is('clear')} AS clear_count,
+               {_is('fail')} AS fail_count, COUNT(*) FILTER (WHERE reward_claimed = 1) AS reward_claimed_count,
+               {_r(_CLEAR_TIME)} AS avg_clear_time_sec, {averages}
+        FROM attempts JOIN retry USING (content_id)
+        WHERE CAST(attempt_started_at AS DATE) {_IN_WINDOW} GROUP BY content_id"""
+
+
+def _reward_summary() -> str:
+    return _with("reward_logs") + f"""
+        SELECT content_id, COUNT(*) AS reward_log_count, {_r('AVG(estimated_gold_value)')} AS avg_reward_value,
+               {_f('SUM(estimated_gold_value)')} AS total_reward_value
+        FROM reward_logs WHERE CAST(rewarded_at AS DATE) {_IN_WINDOW} GROUP BY content_id"""
+
+
 def _eligible_by_content() -> str:
     return _with("characters activity content_master", eligible=_ELIGIBLE_ACTIVE) + (
         f"SELECT * REPLACE ({_n('content_id')} AS content_id) FROM eligible"
@@ -584,14 +613,29 @@ def _active_population() -> str:
     return _with("activity characters attempts", played=_PLAYED) + _POPULATION
 
 
+def _analysis_period() -> str:
+    return _with("attempts") + (
+        f"SELECT {_day('MIN(attempt_started_at)')} AS start_date, {_day('MAX(attempt_started_at)')} AS end_date"
+        " FROM attempts"
+    )
+
+
+_USED = f"""
+    SELECT content_id, COUNT(*) AS attempt_count, {_PEOPLE}, COUNT(DISTINCT party_id) AS party_count,
+           {", ".join(f"{_is(o)} AS {o}_count" for o in ('clear', 'fail', 'give_up', 'disconnect'))},
+           COUNT(*) FILTER (WHERE result <> 'clear') AS non_clear_count, {_EFFORT},
+           {_r(_CLEAR_TIME)} AS avg_clear_time_sec, {_r('AVG(party_member_count)')} AS avg_party_member_count,
+           MIN(attempt_started_at) AS first_at, MAX(attempt_started_at) AS last_at
+    FROM attempts GROUP BY content_id"""
+
+
+def _usage_facts() -> str:
+    return _with("attempts", used=_USED) + f"""
+        SELECT * EXCLUDE (first_at, last_at), {_day('first_at')} AS first_attempt_date,
+               {_day('last_at')} AS last_attempt_date FROM used"""
+
+
 def _usage_steps(targets: str) -> dict[str, str]:
-    used = f"""
-        SELECT content_id, COUNT(*) AS attempt_count, {_PEOPLE}, COUNT(DISTINCT party_id) AS party_count,
-               {", ".join(f"{_is(o)} AS {o}_count" for o in ('clear', 'fail', 'give_up', 'disconnect'))},
-               COUNT(*) FILTER (WHERE result <> 'clear') AS non_clear_count, {_EFFORT},
-               {_r(_CLEAR_TIME)} AS avg_clear_time_sec, {_r('AVG(party_member_count)')} AS avg_party_member_count,
-               MIN(attempt_started_at) AS first_at, MAX(attempt_started_at) AS last_at
-        FROM attempts GROUP BY content_id"""
     counts = (
         "attempt_count participant_account_count participant_character_count party_count clear_count fail_count"
         " give_up_count disconnect_count non_clear_count"
@@ -638,7 +682,7 @@ def _usage_steps(targets: str) -> dict[str, str]:
         "played": _PLAYED,
         "population": _POPULATION,
         "aim": targets,
-        "used": used,
+        "used": _USED,
         "base": base,
         "rated": rated,
         "compared": compared,
@@ -748,19 +792,31 @@ def _eligible_characters() -> str:
     )
 
 
-def _eligible_participation() -> str:
-    def people(condition: str) -> str:
-        return f"COUNT(DISTINCT character_id) FILTER (WHERE {condition})"
+def _people(condition: str) -> str:
+    return f"COUNT(DISTINCT character_id) FILTER (WHERE {condition})"
 
-    tried = f"""
-        SELECT content_id, COUNT(*) AS n, COUNT(DISTINCT character_id) AS c_all,
-               {people('level >= required_level AND combat_power >= recommended_combat_power')} AS c_100,
-               {people('level >= required_level AND combat_power >= 0.8 * recommended_combat_power')} AS c_80,
-               {people('level < required_level OR combat_power < 0.8 * recommended_combat_power')} AS c_under,
-               {_is('clear')} AS clears, {_is('fail')} AS fails, {_is('give_up')} AS give_ups,
-               {_is('disconnect')} AS disconnects
-        FROM attempts JOIN content_master USING (content_id) JOIN characters USING (character_id)
-        WHERE is_deleted = 0 GROUP BY content_id"""
+
+_TRIED = f"""
+    SELECT content_id, COUNT(*) AS n, COUNT(DISTINCT character_id) AS c_all,
+           {_people('level >= required_level AND combat_power >= recommended_combat_power')} AS c_100,
+           {_people('level >= required_level AND combat_power >= 0.8 * recommended_combat_power')} AS c_80,
+           {_people('level < required_level OR combat_power < 0.8 * recommended_combat_power')} AS c_under,
+           {_is('clear')} AS clears, {_is('fail')} AS fails, {_is('give_up')} AS give_ups,
+           {_is('disconnect')} AS disconnects
+    FROM attempts JOIN content_master USING (content_id) JOIN characters USING (character_id)
+    WHERE is_deleted = 0 GROUP BY content_id"""
+
+
+def _challengers() -> str:
+    return _with("attempts characters content_master", tried=_TRIED) + """
+        SELECT content_id, n AS total_attempt_count, c_all AS actual_attempt_character_count,
+               c_100 AS actual_attempt_character_count_100, c_80 AS actual_attempt_character_count_80,
+               c_under AS actual_attempt_character_count_under_80, clears AS clear_count, fails AS fail_count,
+               give_ups AS give_up_count, disconnects AS disconnect_count
+        FROM tried"""
+
+
+def _eligible_participation() -> str:
     d8 = "CAST({} AS DECIMAL(28,8))".format
     rates = f"""
         SELECT m.*, e.* EXCLUDE (content_id), COALESCE(n, 0) AS n, COALESCE(c_all, 0) AS c_all,
@@ -776,7 +832,7 @@ def _eligible_participation() -> str:
         SELECT *, {d8(f'AVG(rate_100) {same}')} AS peer_100, {d8(f'AVG(rate_80) {same}')} AS peer_80,
                {d8(f'AVG(repeats) {same}')} AS peer_repeats, {d8(f'AVG(n) {same}')} AS peer_n FROM rates"""
     return _with(
-        "attempts characters content_master", eligible=_ELIGIBLE_ALL, tried=tried, rates=rates, compared=compared
+        "attempts characters content_master", eligible=_ELIGIBLE_ALL, tried=_TRIED, rates=rates, compared=compared
     ) + f"""
         SELECT {_n('content_id')} AS content_id, content_name, content_type, difficulty,
                {_n('required_level')} AS required_level, {_n('recommended_combat_power')} AS recommended_combat_power,
@@ -932,6 +988,23 @@ def _band_performance() -> str:
         FROM grouped LEFT JOIN aim USING (content_id, difficulty)"""
 
 
+def _rewards_per_attempt() -> str:
+    return _with("reward_logs") + f"""
+        SELECT attempt_id, COUNT(*) AS reward_row_count, {_n('SUM(quantity)')} AS reward_quantity,
+               {_f('SUM(estimated_gold_value)')} AS reward_value
+        FROM reward_logs WHERE attempt_id IS NOT NULL GROUP BY attempt_id"""
+
+
+def _pattern_attempts() -> str:
+    return _with("pattern_logs attempts") + f"""
+        SELECT l.attempt_id, pattern_code, pattern_name, {_n('phase_no')} AS phase_no,
+               {_n('MAX(was_hit)')} AS was_hit, {_n('MAX(is_fatal)')} AS is_fatal,
+               {_f('SUM(damage_taken)')} AS total_damage_taken,
+               {_r('AVG(damage_taken) FILTER (WHERE was_hit = 1)')} AS avg_damage_when_hit, a.result
+        FROM pattern_logs l JOIN attempts a ON a.attempt_id = l.attempt_id
+        WHERE l.content_id = {FOCUS_CONTENT} AND a.content_id = {FOCUS_CONTENT} GROUP BY ALL"""
+
+
 def _pattern_impact() -> str:
     seen = f"""
         SELECT l.attempt_id, phase_no, pattern_code, pattern_name, MAX(was_hit) = 1 AS hit, MAX(is_fatal) = 1 AS fatal,
@@ -1026,4 +1099,12 @@ def statements() -> dict[str, str]:
         "pattern_impact": _pattern_impact(),
         "pattern_by_result": _pattern_by_result(),
         "pattern_incidence_by_band": _pattern_incidence_by_band(),
+        "active_characters": _active_characters(),
+        "attempt_summary": _attempt_summary(),
+        "reward_summary": _reward_summary(),
+        "analysis_period": _analysis_period(),
+        "usage_facts": _usage_facts(),
+        "challengers": _challengers(),
+        "rewards_per_attempt": _rewards_per_attempt(),
+        "pattern_attempts": _pattern_attempts(),
     }
