@@ -72,11 +72,11 @@ def test_first_match_treats_null_as_false(spark):
 
 def test_names_and_order(spark):
     df = spark.createDataFrame(
-        [("Goblin Mine Hard", "hard"), ("Hard Rock", "easy"), ("Easy", "odd"), ("Twin Mythic Easy", "mythic")],
+        [("Copper Vault Hard", "hard"), ("Hard Rock", "easy"), ("Easy", "odd"), ("Twin Mythic Easy", "mythic")],
         "n string, d string",
     )
     rows = df.select(line_name("n").alias("line"), difficulty_order("d").alias("o")).collect()
-    assert [r.line for r in rows] == ["Goblin Mine", "Hard Rock", "Easy", "Twin Mythic"]
+    assert [r.line for r in rows] == ["Copper Vault", "Hard Rock", "Easy", "Twin Mythic"]
     assert [r.o for r in rows] == [3, 1, 99, 4]
 
 
