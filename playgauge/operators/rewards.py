@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from playgauge.config import DEFAULT, Outcomes
 from playgauge.functions.classify import difficulty_order, line_name
 from playgauge.functions.counting import outcome_counts
-from playgauge.functions.exact import mean_of, per_minute, rate_pct, rounded
+from playgauge.functions.exact import mean, mean_of, per_minute, rate_pct, rounded
 from playgauge.functions.period import attempt_duration
 
 _OUTCOMES = ("clear", "fail", "give_up", "disconnect")
@@ -51,29 +51,53 @@ def reward_by_result(
     rewards: DataFrame,
     content_id: int,
     characters: DataFrame | None = None,
-    outcomes: Outcomes = DEFAULT.outcomes,
 ) -> DataFrame:
     """Reward efficiency of one content by attempt result.
 
     Only rewards tagged with the content count. With ``characters`` given,
-    attempts of unknown characters are left out.
+    attempts of unknown characters are left out. Attempts are summed per result
+    and character first, so a very active character joins as a few rows.
     """
-    base = _timed(attempts.filter(F.col("content_id") == content_id))
-    if characters is not None:
-        base = base.join(characters.select("character_id"), "character_id", "left_semi")
     paid = rewards_per_attempt(rewards.filter(F.col("content_id") == content_id))
     value = F.coalesce(F.col("reward_value"), F.lit(0))
-    rows = base.join(paid, "attempt_id", "left")
-    grouped = rows.groupBy("result").agg(
-        F.count("*").alias("attempt_count"),
-        F.count_distinct("character_id").alias("character_count"),
-        rounded(mean_of("death_count")).alias("avg_death_count"),
-        rounded(mean_of("duration_sec")).alias("avg_duration_sec"),
-        F.count_if(F.col("reward_claimed") == 1).alias("reward_claimed_count"),
-        rounded(mean_of(F.coalesce(F.col("reward_quantity"), F.lit(0)))).alias("avg_reward_quantity"),
-        rounded(mean_of(value)).alias("avg_reward_value"),
-        rounded(mean_of("reward_value")).alias("avg_reward_value_when_paid"),
-        rounded(F.avg(per_minute(value, "duration_sec"))).alias("avg_reward_value_per_minute"),
+    measures = {
+        "deaths": F.col("death_count"),
+        "seconds": F.col("duration_sec"),
+        "quantity": F.coalesce(F.col("reward_quantity"), F.lit(0)),
+        "value": value,
+        "paid": F.col("reward_value"),
+        "minute": per_minute(value, "duration_sec"),
+    }
+    per_character = (
+        _timed(attempts.filter(F.col("content_id") == content_id))
+        .join(paid, "attempt_id", "left")
+        .groupBy("result", "character_id")
+        .agg(
+            F.count("*").alias("n"),
+            F.count_if(F.col("reward_claimed") == 1).alias("claimed"),
+            *(F.sum(m).alias(name) for name, m in measures.items()),
+            *(F.count(m).alias(f"{name}_n") for name, m in measures.items()),
+        )
+    )
+    if characters is not None:
+        per_character = per_character.join(characters.select("character_id"), "character_id", "left_semi")
+
+    def average(name: str) -> Column:
+        return rounded(mean(F.sum(name), F.sum(f"{name}_n")))
+
+    per_minute_mean = F.sum("minute").cast("decimal(28,8)") / F.nullif(
+        F.sum("minute_n").cast("decimal(18,0)"), F.lit(0)
+    )
+    grouped = per_character.groupBy("result").agg(
+        F.sum("n").alias("attempt_count"),
+        F.count("character_id").alias("character_count"),
+        average("deaths").alias("avg_death_count"),
+        average("seconds").alias("avg_duration_sec"),
+        F.sum("claimed").alias("reward_claimed_count"),
+        average("quantity").alias("avg_reward_quantity"),
+        average("value").alias("avg_reward_value"),
+        average("paid").alias("avg_reward_value_when_paid"),
+        rounded(per_minute_mean).alias("avg_reward_value_per_minute"),
     )
     everything = F.sum("attempt_count").over(Window.partitionBy())
     return grouped.select(
