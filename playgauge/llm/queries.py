@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playgauge.llm import toxicity
+from playgauge.llm import mixing, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = _table(spark, sf_dir, "labels")
@@ -23,9 +28,44 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_mixing": op1_mixing,
         "op9_toxicity": op9_toxicity,
     }
 
 
+_OP1 = r"""
+WITH s AS (
+    SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+           CAST('0x' || substr(md5('7' || coalesce(':' || doc_id::VARCHAR, '')), 1, 15) AS BIGINT) AS mix
+    FROM documents
+), p AS (
+    SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3.0 WHEN 1 THEN 1.0 ELSE 2.0 END::DOUBLE AS weight
+    FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM s GROUP BY source)
+), c AS (
+    SELECT *, source_size * 2.0::DOUBLE AS cap, floor(sum(source_size) OVER () * 1.5::DOUBLE) AS budget,
+           row_number() OVER w AS pos,
+           coalesce(sum(source_size * 2.0::DOUBLE) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped,
+           sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open
+    FROM p WINDOW w AS (ORDER BY source_size * 2.0::DOUBLE / weight, source NULLS LAST)
+), r AS (
+    SELECT *, CASE WHEN (budget - capped) / open * weight <= cap THEN (budget - capped) / open END AS reached FROM c
+), t AS (
+    SELECT source, source_size, weight, budget,
+           CASE WHEN level IS NULL THEN cap ELSE least(cap, level * weight) END AS target
+    FROM (SELECT *, (SELECT arg_min(reached, pos) FROM r WHERE reached IS NOT NULL) AS level FROM r)
+), u AS (
+    SELECT s.*, t.* EXCLUDE (source), sum(size) OVER (PARTITION BY s.source ORDER BY mix, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto
+    FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source
+), e AS (
+    SELECT u.*, epoch, (upto + epoch * source_size)::DOUBLE / weight AS finish FROM u, (VALUES (0), (1)) AS v(epoch)
+), f AS (
+    SELECT *, sum(size) OVER (ORDER BY finish, mix, doc_id, epoch ROWS UNBOUNDED PRECEDING) AS spent FROM e
+)
+SELECT doc_id, size, source_size, target,
+       CAST(sum(greatest(0, least(size, budget - (spent - size)))) AS BIGINT) AS taken
+FROM f GROUP BY doc_id, source, upto, mix, size, source_size, target
+"""
+
+
 def statements() -> dict[str, str]:
-    return {}
+    return {"op1_mixing": _OP1}
