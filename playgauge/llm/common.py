@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +48,11 @@ def extended(schema: T.StructType, ddl: str) -> T.StructType:
     return T.StructType([*schema.fields, *T.StructType.fromDDL(ddl).fields])
 
 
+def worker_state() -> dict:
+    """What a Python worker keeps from task to task, by name."""
+    return sys.modules.setdefault("playgauge_worker_state", ModuleType("playgauge_worker_state")).__dict__
+
+
 def short_batches(spark: SparkSession) -> None:
     """Keep Arrow batches short enough for long texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
