@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playgauge.llm import mixing, ngram_join, packing, pii, toxicity
+from playgauge.llm import licences, maxscore, mixing, ngram_join, packing, pii, simhash, token_rollup, toxicity, urls
+from playgauge.llm.common import shared_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,11 +32,47 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, digest, pii.written("spans").alias("spans"))
 
 
+def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.filtered(pages).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return ngram_join.near_duplicates(docs).select("doc_id", "n_shingles", "component_id")
 
 
+def op6_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", maxscore.scaled().alias("v"))
+    return maxscore.top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.edited_likeness(_table(spark, sf_dir, "documents"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after three batches: all documents in; those not in English counted anew; toxic ones out."""
+    folder = f"{shared_folder(spark).rstrip('/')}/token-counts-{uuid.uuid4().hex}"
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    toxic = _table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct()
+    foreign = F.coalesce(F.col("lang") != "en", F.lit(True))
+    token_rollup.commit(folder, 0, token_rollup.counted(docs, "words-1"))
+    again = token_rollup.revised(docs.where(foreign), "words-1", "words-2")
+    token_rollup.commit(folder, 1, again)
+    gone = docs.join(toxic, "doc_id", "left_semi")
+    out = token_rollup.counted(gone.where(~foreign), "words-1", -1)
+    out = out.unionByName(token_rollup.counted(gone.where(foreign), "words-2", -1))
+    token_rollup.commit(folder, 2, out)
+    # As a restarted job would: the same batch once more.
+    token_rollup.commit(folder, 2, out)
+    return token_rollup.totals(spark, folder)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = _table(spark, sf_dir, "labels")
@@ -50,7 +88,12 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
         "op2_pii": op2_pii,
+        "op3_urls": op3_urls,
+        "op4_licences": op4_licences,
         "op5_ngram_join": op5_ngram_join,
+        "op6_maxscore": op6_maxscore,
+        "op7_simhash": op7_simhash,
+        "op8_token_counts": op8_token_counts,
         "op9_toxicity": op9_toxicity,
         "op10_packing": op10_packing,
     }
@@ -90,5 +133,97 @@ FROM f GROUP BY doc_id, source, upto, mix, size, source_size, target
 """
 
 
+
+
+def _op3() -> str:
+    def hit(term: str) -> str:
+        return f"regexp_matches(t, '(^|[^a-z0-9]){term}($|[^a-z0-9])')"
+
+    def fits(rule: str) -> str:
+        host, _, path = rule.partition("/")
+        return f"((host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '/{path}'))"
+
+    by_length = sorted(urls.RULES, key=lambda r: -len(r[0]))
+    rules = " ".join(f"WHEN {fits(rule)} THEN '{rule}'" for rule, _ in by_length)
+    verdicts = " ".join(f"WHEN '{rule}' THEN '{verdict}'" for rule, verdict in by_length)
+    strict = " OR ".join(hit(term) for term in urls.STRICT)
+    soft = " + ".join(f"{hit(term)}::INT" for term in urls.SOFT)
+    return f"""
+WITH r AS (
+    SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), p AS (
+    SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{urls.UPPER}', '{urls.LOWER}') AS host,
+           regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r
+), q AS (
+    SELECT *, CASE {rules} END AS rule, translate(host || path, '{urls.UPPER}', '{urls.LOWER}') AS t FROM p
+)
+SELECT page_id, host, path, rule,
+       CASE rule {verdicts} ELSE CASE WHEN {strict} OR {soft} >= 2 THEN 'block' ELSE 'allow' END END AS verdict
+FROM q
+"""
+
+
+def _op4() -> str:
+    def quoted(text: str) -> str:
+        return "'" + text.replace("'", "''") + "'"
+
+    def form(text: str) -> str:
+        out = f"regexp_replace(lower({text}), {quoted(licences.COPYRIGHT_LINE)}, ' ', 'g')"
+        for pattern, one in licences.SAME:
+            out = f"replace({out}, {quoted(pattern)}, {quoted(one)})"
+        return f"trim(regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+
+    known = ", ".join(f"({quoted(name)}, {quoted(text)})" for name, texts in licences.KNOWN.items() for text in texts)
+    return f"""
+WITH k AS (
+    SELECT DISTINCT licence, sha256({form('t')}) AS digest FROM (VALUES {known}) AS v(licence, t)
+), d AS (
+    SELECT doc_id, text, string_split(text, chr(10)) AS ls, regexp_split_to_array(text, '\\n[ \\t\\r]*\\n') AS ps
+    FROM documents WHERE text IS NOT NULL
+), u AS (
+    SELECT doc_id, 'text' AS unit, 1 AS number, text AS part FROM d
+    UNION ALL SELECT doc_id, 'line', unnest(range(1, len(ls) + 1)), unnest(ls) FROM d WHERE len(ls) > 1
+    UNION ALL SELECT * FROM (
+        SELECT doc_id, 'paragraph', unnest(range(1, len(ps) + 1)), unnest(ps) AS part FROM d WHERE len(ps) > 1
+    ) WHERE contains(part, chr(10))
+), c AS (
+    SELECT doc_id, unit, number, {form('part')} AS part FROM u
+)
+SELECT doc_id, unit, CAST(number AS BIGINT) AS number, licence FROM c JOIN k ON sha256(part) = digest WHERE part <> ''
+"""
+
+
+_OP6 = """
+WITH e AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+    SELECT q.vec_id AS query_id, d.vec_id, CAST(list_dot_product(q.v, d.v) AS BIGINT) AS score
+    FROM e q JOIN e d ON q.vec_id % 50 = 0 AND q.vec_id <> d.vec_id
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
+
+_OP8 = r"""
+WITH d AS (
+    SELECT source, lang, coalesce(lang <> 'en', true) AS again, text FROM documents
+    WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL)
+)
+SELECT source, lang, CASE WHEN again THEN 'words-2' ELSE 'words-1' END AS version, count(*) AS n_docs,
+       CAST(sum(coalesce(len(CASE WHEN again THEN regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9\x20\x09-\x0D]')
+                                  ELSE regexp_extract_all(text, '[^\x20\x09-\x0D]+') END), 0)) AS BIGINT) AS n_tokens
+FROM d GROUP BY ALL
+"""
+
+
 def statements() -> dict[str, str]:
-    return {"op1_mixing": _OP1}
+    return {
+        "op1_mixing": _OP1,
+        "op3_urls": _op3(),
+        "op4_licences": _op4(),
+        "op6_maxscore": _OP6,
+        "op8_token_counts": _OP8,
+    }
