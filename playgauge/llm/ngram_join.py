@@ -6,8 +6,9 @@ more, and the result names the component of each document.
 
 1. One pass counts in how many texts each of 2**SKETCH_BITS shingle buckets occurs, a table of fixed size.
    The order of shingles by bucket count, then hash, is the global order: rare shingles come first.
-2. A second pass gives each text's class and the beginning of its ordered set. Two similar sets share a
-   shingle of their beginnings, so classes that share none in a chain of classes are never compared.
+2. A second and third pass give each text's class and the beginning of its ordered set. Two similar sets
+   share a shingle of their beginnings and are of similar size, so only classes that chains of such ties join
+   are ever compared.
 3. Such groups of classes are dealt to tasks with their texts, large ones in blocks that meet pairwise. Each
    task stores the whole ordered sets in a prefix tree and walks it: overlaps of common beginnings are counted
    once, subtrees that can't reach the bound are cut off, and sets already in one component are left alone.
@@ -24,14 +25,15 @@ An empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from playgauge.llm.common import gram_hashes, short_batches, stored, word_hashes
+from playgauge.llm.common import gram_hashes, mixed, short_batches, stored, word_hashes
 from playgauge.llm.components import components
 from playgauge.llm.trie import allowed, join_sets
 
@@ -50,22 +52,22 @@ def _sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
         yield np.unique(grams[a:b])
 
 
-def _shingle_order(docs: DataFrame, n: int) -> np.ndarray:
-    """Rank of every shingle bucket by the number of texts that have it."""
+def _bucket_counts(df: DataFrame, column: str, hashes: Callable[[pa.Array], Iterator[np.ndarray]]) -> np.ndarray:
+    """How many arrays of 64-bit hashes of distinct values fall in each of 2**SKETCH_BITS buckets.
+
+    Each task counts in a table of fixed size; tables are added up in parts.
+    """
     size = 1 << SKETCH_BITS
     step = size // _PARTS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, dtype=np.int64)
         for batch in batches:
-            for grams in _sets(batch.column("text"), n):
-                np.add.at(total, _bucket(grams), 1)
-        yield from _rows(total)
-
-    def _rows(total: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for some in hashes(batch.column(column)):
+                np.add.at(total, _bucket(some), 1)
         if total.any():
-            least = np.uint16 if total.max() < 1 << 16 else np.int64
-            parts = [total[i * step : (i + 1) * step].astype(least).tobytes() for i in range(_PARTS)]
+            kind = np.uint16 if total.max() < 1 << 16 else np.int64
+            parts = [total[i * step : (i + 1) * step].astype(kind).tobytes() for i in range(_PARTS)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(range(_PARTS), pa.int32()), pa.array(parts, pa.binary())], ["part", "counts"]
             )
@@ -82,45 +84,61 @@ def _shingle_order(docs: DataFrame, n: int) -> np.ndarray:
                 ["part", "counts"],
             )
 
-    parts = docs.select("text").mapInArrow(count, "part int, counts binary")
+    parts = df.select(column).mapInArrow(count, "part int, counts binary")
     total = np.zeros(size, dtype=np.int64)
     # 64 rows of fixed size, whatever the input.
     for row in parts.repartition(_PARTS, "part").mapInArrow(add, "part int, counts binary").collect():
         total[row["part"] * step : (row["part"] + 1) * step] = np.frombuffer(row["counts"], dtype=np.int64)
-    levels = np.unique(total)
-    return np.searchsorted(levels, total).astype(np.uint32)
+    return total
 
 
-def _classes(docs: DataFrame, order, n: int, percent: int) -> DataFrame:
-    """Per document: ``node`` (its class; null for an empty set), size of the set and its beginning in order."""
+def _shingle_order(docs: DataFrame, n: int) -> np.ndarray:
+    """Rank of every shingle bucket by the number of texts that have it."""
+    total = _bucket_counts(docs, "text", lambda texts: _sets(texts, n))
+    return np.searchsorted(np.unique(total), total).astype(np.uint32)
+
+
+def _classes(docs: DataFrame, n: int) -> DataFrame:
+    """Per document: ``node`` (its class; null for an empty set) and size of the set."""
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [(_node(grams) if len(grams) else None, len(grams)) for grams in _sets(batch.column("text"), n)]
+            nodes, sizes = zip(*sets) if sets else ((), ())
+            columns = [batch.column("doc_id"), batch.column("text_key"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "node", "n_shingles"])
+
+    return docs.mapInArrow(describe, "doc_id long, text_key long, node long, n_shingles long")
+
+
+def _beginnings(docs: DataFrame, order, n: int, percent: int) -> DataFrame:
+    """Per class: ``node``, size of the set ``n`` and the beginning of the ordered set."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = order.value
         for batch in batches:
-            nodes, sizes, begins = [], [], []
-            for grams in _sets(batch.column("text"), n):
-                sizes.append(len(grams))
-                nodes.append(_node(grams) if len(grams) else None)
-                begins.append(_beginning(grams, ranks, percent))
+            sets = [grams for grams in _sets(batch.column("text"), n) if len(grams)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"),
-                    batch.column("text_key"),
-                    pa.array(nodes, pa.int64()),
-                    pa.array(sizes, pa.int64()),
-                    pa.array(begins, pa.list_(pa.int64())),
+                    pa.array([_node(grams) for grams in sets], pa.int64()),
+                    pa.array([len(grams) for grams in sets], pa.int32()),
+                    pa.array([_beginning(grams, ranks, percent) for grams in sets], pa.list_(pa.int64())),
                 ],
-                ["doc_id", "text_key", "node", "n_shingles", "beginning"],
+                ["node", "n", "beginning"],
             )
 
-    schema = "doc_id long, text_key long, node long, n_shingles long, beginning array<long>"
-    return docs.mapInArrow(describe, schema)
+    each = docs.select("text").mapInArrow(describe, "node long, n int, beginning array<long>")
+    return each.groupBy("node").agg(F.first("n").alias("n"), F.first("beginning").alias("beginning"))
 
 
 def _node(grams: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(grams.tobytes(), digest_size=8).digest(), "little") >> 1
 
 
+def _scrambled(keys: pa.Array) -> Iterator[np.ndarray]:
+    yield mixed(keys.to_numpy(zero_copy_only=False).view(np.uint64))
+
+
 def _bucket(grams: np.ndarray) -> np.ndarray:
     return (grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
@@ -134,12 +152,17 @@ def _beginning(grams: np.ndarray, ranks: np.ndarray, percent: int) -> np.ndarray
     return grams[np.argsort(ranks[_bucket(grams)], kind="stable")[:first]].view(np.int64)
 
 
-def _groups(nodes: DataFrame) -> DataFrame:
-    """``node`` and ``root`` of classes joined by chains of shared beginnings; classes alone are left out."""
-    tokens = nodes.select(F.explode("beginning").alias("token"), "node")
-    same = Window.partitionBy("token")
-    tied = tokens.withColumn("least", F.min("node").over(same)).where("node > least")
-    return components(tied.select(F.col("node").alias("u"), F.col("least").alias("v")))
+def _groups(nodes: DataFrame, percent: int) -> DataFrame:
+    """``node`` and ``root`` of classes that chains of shared beginnings join; classes alone are left out.
+
+    Among the classes that share a shingle, ordered by size, neighbours are tied where their sizes allow
+    similarity. Any two classes that may be similar are then tied through those between them.
+    """
+    tokens = nodes.select(F.explode("beginning").alias("token"), "node", "n")
+    by_size = Window.partitionBy("token").orderBy("n", "node")
+    tied = tokens.select("node", "n", F.lag("node").over(by_size).alias("other"), F.lag("n").over(by_size).alias("m"))
+    tied = tied.where(F.col("m") * 100 >= F.col("n") * percent)
+    return components(tied.select(F.col("node").alias("u"), F.col("other").alias("v")))
 
 
 def _joined(texts: DataFrame, order, n: int, percent: int) -> DataFrame:
@@ -201,17 +224,13 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
         F.xxhash64("text").alias("text_key"),
     )
     order = spark.sparkContext.broadcast(_shingle_order(docs, n))  # 2**SKETCH_BITS numbers
-    described = stored(_classes(docs, order, n, percent), "classes")
-    rows = described.where("node IS NOT NULL")
+    described = stored(_classes(docs, n), "classes")
     # One row, and one text, stands for each class.
-    nodes = stored(
-        rows.groupBy("node").agg(
-            F.min(F.struct("doc_id", "text_key")).alias("one"), F.first("n_shingles").alias("n"), F.first("beginning").alias("beginning")
-        ),
-        "nodes",
+    nodes = described.where("node IS NOT NULL").groupBy("node").agg(
+        F.min(F.struct("doc_id", "text_key")).alias("one"), F.first("n_shingles").alias("n")
     )
-    groups = _groups(nodes)
-    members = nodes.select("node", "one", "n").join(groups, "node")
+    groups = _groups(_beginnings(docs, order, n, percent), percent)
+    members = nodes.join(groups, "node")
     # Members by size, in blocks of bounded shingles; a block meets itself and those of similar size.
     upto = Window.partitionBy("root").orderBy("n", "node")
     members = members.withColumn("block", F.floor((F.sum("n").over(upto) - F.col("n")) / BLOCK_SHINGLES))
@@ -227,6 +246,15 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     on = (F.col("m.root") == F.col("p.group")) & (F.col("m.block") == F.col("p.block"))
     dealt = members.alias("m").join(pairs.alias("p"), on).select("p.*", "m.node", "m.one")
     dealt = stored(dealt, "dealt")
+    # Texts surely of no member stay where they are: their keys fall in buckets without any.
+    wanted = spark.sparkContext.broadcast(_bucket_counts(dealt.select(F.col("one.text_key").alias("key")), "key", _scrambled) > 0)
+
+    @F.pandas_udf("boolean")
+    def may_be_member(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for keys in batches:
+            yield pd.Series(wanted.value[_bucket(mixed(keys.to_numpy().view(np.uint64)))])
+
+    docs = docs.where(may_be_member("text_key"))
     same = (F.col("d.text_key") == F.col("x.one.text_key")) & F.col("d.doc_id").eqNullSafe(F.col("x.one.doc_id"))
     texts = docs.alias("d").join(dealt.alias("x"), same).select("x.group", "x.first", "x.second", "x.block", "x.node", "d.text")
     by = ["group", "first", "second"]
