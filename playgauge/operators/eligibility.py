@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 from datetime import date
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from playgauge.functions.period import in_period
 
-_POWER = "decimal(18,4)"
+
+def _power_type(content: DataFrame, characters: DataFrame, shares: Iterable[Decimal | None]) -> str:
+    """A type that holds every power and every share of a recommended power without rounding."""
+    kinds = [content.schema["recommended_combat_power"].dataType, characters.schema["combat_power"].dataType]
+    if any(isinstance(k, (T.FloatType, T.DoubleType)) for k in kinds):
+        return "double"
+    scales = [k.scale if isinstance(k, T.DecimalType) else 0 for k in kinds]
+    digits = max((-s.normalize().as_tuple().exponent for s in shares if s is not None), default=0)
+    return f"decimal(38,{max(scales[0] + max(digits, 0), scales[1])})"
 
 
 def _met(edges: str, steps: str, value: Column) -> Column:
@@ -52,6 +61,7 @@ def threshold_counts(
     cells at or beyond its own two thresholds, which a running sum over the
     cells gives. The edges of the cells are the thresholds, so this is exact.
     """
+    power_type = _power_type(content, characters, requirements.values())
     asks = content.select(
         "content_id",
         F.col("required_level").cast("int").alias("level_edge"),
@@ -61,7 +71,7 @@ def threshold_counts(
                     F.struct(
                         F.lit(name).alias("requirement"),
                         (F.col("recommended_combat_power") * F.lit(share) if share is not None else F.lit(None))
-                        .cast(_POWER)
+                        .cast(power_type)
                         .alias("power_edge"),
                         F.lit(share is not None).alias("needs_power"),
                     )
@@ -81,7 +91,7 @@ def threshold_counts(
         "power_steps": sorted_edges.select(_steps(F.col("powers"))).scalar(),
     }
     cells = (
-        characters.select(F.col("level").cast("int").alias("level"), F.col("combat_power").cast(_POWER).alias("power"))
+        characters.select(F.col("level").cast("int").alias("level"), F.col("combat_power").cast(power_type).alias("power"))
         .withColumns(edges)
         .select(
             _met("levels", "level_steps", F.col("level")).alias("level_rank"),

@@ -153,10 +153,14 @@ def pk_duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def null_profile(df: DataFrame, table: Table) -> DataFrame:
-    """Per declared column: NULLs, NULLs that break NOT NULL, texts that are too long."""
-    present = [c for c in table.columns if c.name in df.columns]
+    """Per declared column: NULLs, NULLs that break NOT NULL, texts that are too long.
+
+    A column that the rows don't have is NULL in all of them.
+    """
+    absent = [c for c in table.columns if c.name not in df.columns]
+    df = df.withColumns({c.name: F.lit(None).cast(c.data_type) for c in absent})
     counts = [F.count("*").alias("_rows")]
-    for c in present:
+    for c in table.columns:
         counts.append(F.count_if(F.col(c.name).isNull()).alias(f"{c.name}_nulls"))
         if c.max_length is not None:
             long_text = F.char_length(c.name) > c.max_length
@@ -171,6 +175,6 @@ def null_profile(df: DataFrame, table: Table) -> DataFrame:
             (F.col(f"{c.name}_nulls") if c.required else zero).alias("null_violations"),
             (F.col(f"{c.name}_long") if c.max_length is not None else zero).alias("over_length"),
         )
-        for c in present
+        for c in table.columns
     ]
     return df.agg(*counts).select(F.inline(F.array(*lines)))

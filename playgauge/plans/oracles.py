@@ -284,8 +284,23 @@ def _dq_null_profile() -> str:
             ("estimated_gold_value", False, None),
         ],
     }
+    # Declared columns that the views lack count as NULL in every row: column, required.
+    absent = {
+        "accounts": [("last_login_at", False), ("signup_channel", True), ("country_code", True), ("marketing_opt_in", False)],
+        "content_attempts": [("fail_reason", False), ("avg_party_combat_power", False)],
+        "reward_logs": [
+            ("reward_id", True), ("account_id", True), ("character_id", True), ("item_id", True),
+            ("item_name", True), ("item_type", True), ("item_rarity", True), ("is_first_clear_reward", True),
+        ],
+    }
     lines = []
     for (table, view), columns in layout.items():
+        for column, required in absent[table]:
+            lines.append(
+                f"SELECT '{table}' AS table_name, '{column}' AS column_name, COUNT(*) AS row_count, COUNT(*) AS nulls,"
+                f" {'COUNT(*)' if required else 'CAST(0 AS BIGINT)'} AS null_violations,"
+                f" CAST(0 AS BIGINT) AS over_length FROM {view}"
+            )
         for column, required, limit in columns:
             value = "'n/a'" if column == "difficulty" else column
             nulls = f"COUNT(*) FILTER (WHERE {value} IS NULL)"

@@ -29,6 +29,7 @@ def read_csv(
     file_columns: Sequence[str] | None = None,
     escape: str = '"',
     multiline: bool = False,
+    rejected: str = "split",
 ) -> CheckedLoad:
     """Load comma-separated UTF-8 text with a header line against a declared table.
 
@@ -37,7 +38,8 @@ def read_csv(
     converted, so one bad field rejects its row with a reason instead of
     failing the load or turning into a wrong value. Empty optional fields become
     NULL. ``multiline`` allows line breaks inside quotes, at the price of one
-    task per file; leave it off for large files.
+    task per file; leave it off for large files. With ``rejected="fail"`` reading the
+    accepted rows fails at the first rejected one.
     """
     table = TABLES[name]
     order = list(file_columns or table.names)
@@ -56,20 +58,24 @@ def read_csv(
         .option("columnNameOfCorruptRecord", _MALFORMED)
         .csv(path)
     )
-    return check_rows(raw, table)
+    return check_rows(raw, table, rejected)
 
 
-def check_rows(raw: DataFrame, table: Table) -> CheckedLoad:
-    """Split rows of text fields into typed accepted rows and rejected rows."""
+def check_rows(raw: DataFrame, table: Table, rejected: str = "split") -> CheckedLoad:
+    """Split rows of text fields into typed accepted rows and rejected rows, or fail on reading past one."""
     checks = [F.when(F.col(_MALFORMED).isNotNull(), F.lit("malformed_row"))]
     for column in table.columns:
         checks.extend(_checks(column))
     judged = raw.withColumn("reasons", F.array_compact(F.array(*checks)))
-    accepted = judged.filter(F.size("reasons") == 0).select(
+    good = F.size("reasons") == 0
+    if rejected == "fail":
+        reason = F.concat(F.lit(f"{table.name}: rejected row: "), F.array_join("reasons", ", "))
+        good = F.when(good, F.lit(True)).otherwise(F.raise_error(reason).cast("boolean"))
+    accepted = judged.filter(good).select(
         *(_typed(column).alias(column.name) for column in table.columns)
     )
-    rejected = judged.filter(F.size("reasons") > 0).select(*table.names, _MALFORMED, "reasons")
-    return CheckedLoad(accepted, rejected)
+    bad = judged.filter(F.size("reasons") > 0).select(*table.names, _MALFORMED, "reasons")
+    return CheckedLoad(accepted, bad)
 
 
 def _text_of(column: Col) -> Column:
@@ -107,22 +113,63 @@ def with_collation(df: DataFrame, collation: str = "UNICODE_CI_AI") -> DataFrame
     return df.withColumns({name: F.collate(name, collation) for name in texts})
 
 
+def load_report(name: str, load: CheckedLoad) -> DataFrame:
+    """Rows per outcome of a load: ``accepted``, ``rejected``, and each reason (a row may have several)."""
+    bad = load.rejected.select(F.lit("rejected").alias("outcome"), "reasons")
+    bad = bad.withColumn("outcome", F.explode(F.concat(F.array("outcome"), "reasons"))).select("outcome")
+    return (
+        load.accepted.select(F.lit("accepted").alias("outcome"))
+        .unionByName(bad)
+        .groupBy(F.lit(name).alias("table_name"), "outcome")
+        .agg(F.count("*").alias("rows"))
+    )
+
+
+def schema_report(df: DataFrame, table: Table) -> dict[str, list[str]]:
+    """Columns that differ from the declaration: ``missing``, ``extra``, and of another ``type``."""
+    found = {f.name: f.dataType for f in df.schema.fields}
+    return {
+        "missing": [c.name for c in table.columns if c.name not in found],
+        "extra": [name for name in found if name not in table.names],
+        "type": [
+            f"{c.name}: {found[c.name].simpleString()}, declared {c.data_type.simpleString()}"
+            for c in table.columns
+            if c.name in found and found[c.name] != c.data_type
+        ],
+    }
+
+
 def read_table(
-    spark: SparkSession, name: str, path: str, fmt: str = "parquet", collation: str | None = None
+    spark: SparkSession,
+    name: str,
+    path: str,
+    fmt: str = "parquet",
+    collation: str | None = None,
+    rejected: str = "fail",
 ) -> DataFrame:
-    """Accepted rows of one declared table."""
+    """Rows of one declared table.
+
+    CSV rows that don't meet the declaration make the reading job fail with their reason; ``rejected="drop"``
+    leaves them out. ``read_csv`` gives them beside the accepted ones, and ``load_report`` counts them. Parquet
+    with columns missing or of another type is refused; further columns, like a day's, are kept.
+    """
+    if rejected not in ("fail", "drop"):
+        raise ValueError(f"unknown treatment of rejected rows {rejected!r}")
     if fmt == "csv":
-        df = read_csv(spark, name, path).accepted
+        df = read_csv(spark, name, path, rejected=rejected).accepted
     elif fmt == "parquet":
         df = spark.read.parquet(path)
+        report = schema_report(df, TABLES[name])
+        if report["missing"] or report["type"]:
+            raise ValueError(f"{name}: missing {report['missing']}, of another type {report['type']}")
     else:
         raise ValueError(f"unknown format {fmt!r}")
     return df if collation is None else with_collation(df, collation)
 
 
 def read_tables(
-    spark: SparkSession, root: str, fmt: str = "parquet", collation: str | None = None
+    spark: SparkSession, root: str, fmt: str = "parquet", collation: str | None = None, rejected: str = "fail"
 ) -> dict[str, DataFrame]:
     """All declared tables below one folder, named after the tables."""
     suffix = ".csv" if fmt == "csv" else ""
-    return {name: read_table(spark, name, f"{root}/{name}{suffix}", fmt, collation) for name in TABLES}
+    return {name: read_table(spark, name, f"{root}/{name}{suffix}", fmt, collation, rejected) for name in TABLES}

@@ -131,6 +131,20 @@ def test_duplicates_and_profile(spark):
     assert lines["payment_method"].over_length == 1
     broken = df.withColumnRenamed("product_type", "old").selectExpr("*", "CAST(NULL AS STRING) AS product_type")
     assert by(quality.null_profile(broken, TABLES["payments"]), "column_name")["product_type"].null_violations == 3
+    assert by(quality.null_profile(df.drop("product_type"), TABLES["payments"]), "column_name")["product_type"].null_violations == 3
+
+
+def test_shares_of_power_are_not_rounded(spark):
+    from decimal import Decimal
+
+    from playgauge.operators import eligibility
+
+    content = spark.createDataFrame([(1, 1, 3)], "content_id long, required_level int, recommended_combat_power long")
+    for kind in ("long", "decimal(12,2)", "double"):
+        people = spark.createDataFrame([(1, 1), (1, 2), (1, 10**15)], "level int, combat_power long")
+        people = people.withColumn("combat_power", people.combat_power.cast(kind if kind != "decimal(12,2)" else "decimal(20,2)"))
+        got = eligibility.threshold_counts(content, people, {"some": Decimal("0.33334"), "all": Decimal("1"), "level": None})
+        assert tuple(got.first()) == (1, 2, 1, 3)
 
 
 # ------------------------------------------------------------------ profiles

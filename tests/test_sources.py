@@ -12,7 +12,7 @@ from playgauge.config import DEFAULT
 from playgauge.functions.labels import HEADERS, VALUES, localize
 from playgauge.functions.period import DAY_COLUMN, in_period
 from playgauge.operators import patterns
-from playgauge.sources.reader import read_csv, read_table, read_tables
+from playgauge.sources.reader import load_report, read_csv, read_table, read_tables, schema_report
 from playgauge.sources.schemas import TABLES
 from playgauge.sources.writer import write_bucketed, write_result, write_table
 
@@ -82,6 +82,31 @@ def test_every_table_round_trips_through_csv(spark, tmp_path):
         read_table(spark, "accounts", str(tmp_path), "orc")
 
 
+def test_rejected_rows_are_not_lost_in_silence(spark, tmp_path):
+    header = ",".join(TABLES["accounts"].names)
+    rows = ["1,2026-01-01 00:00:00,,web,pc,KR,active,0,1", "x,2026-01-01 00:00:00,,web,pc,KR,active,0,", "3,,,web,pc,KR,active,0,1"]
+    path = _file(tmp_path, "a.csv", "\n".join([header, *rows]) + "\n")
+    for whole in (lambda df: df.collect(), lambda df: df.count(), lambda df: df.select("platform").collect()):
+        with pytest.raises(Exception, match="rejected row"):
+            whole(read_table(spark, "accounts", path, "csv"))
+    assert [r.account_id for r in read_table(spark, "accounts", path, "csv", rejected="drop").collect()] == [1]
+    counts = {r.outcome: r.rows for r in load_report("accounts", read_csv(spark, "accounts", path)).collect()}
+    assert counts["accepted"] == 1 and counts["rejected"] == 2
+    assert counts["bad_value:account_id"] == 1 and counts["missing:created_at"] == 1
+    with pytest.raises(ValueError):
+        read_table(spark, "accounts", path, "csv", rejected="keep")
+
+
+def test_parquet_is_held_against_the_declaration(spark, tmp_path):
+    df = game.make(spark, "accounts", [{}])
+    odd = df.drop("platform").withColumn("account_id", F.col("account_id").cast("string")).withColumn("more", F.lit(1))
+    report = schema_report(odd, TABLES["accounts"])
+    assert report == {"missing": ["platform"], "extra": ["more"], "type": ["account_id: string, declared bigint"]}
+    odd.write.parquet(str(tmp_path / "odd"))
+    with pytest.raises(ValueError, match="platform"):
+        read_table(spark, "accounts", str(tmp_path / "odd"))
+
+
 def test_day_layout_prunes_folders(spark, tmp_path):
     path = str(tmp_path / "attempts")
     write_table(game.attempts(spark), "content_attempts", path)
