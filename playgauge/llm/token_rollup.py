@@ -28,9 +28,10 @@ def tokens(version: str, text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(VERSIONS[version])).cast("long"), F.lit(0).cast("long"))
 
 
-def counted(docs: DataFrame, version: str, sign: int = 1) -> DataFrame:
-    """One change per document, in or out."""
+def counted(docs: DataFrame, version: str, sign: int = 1, *also: str) -> DataFrame:
+    """One change per document, in or out; ``also`` names columns to keep beside it."""
     return docs.select(
+        *also,
         F.col("source").cast("string").alias("source"),
         F.col("lang").cast("string").alias("lang"),
         F.lit(version).alias("version"),
