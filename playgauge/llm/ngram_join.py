@@ -25,6 +25,7 @@ An empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -37,8 +38,9 @@ from playgauge.llm.common import gram_hashes, mixed, short_batches, stored, word
 from playgauge.llm.components import components
 from playgauge.llm.trie import allowed, join_sets
 
-#: Buckets of the shingle count table: 2**21, which every task can hold.
-SKETCH_BITS = 21
+#: Buckets of the shingle count table: 2**24, which every task can hold. The more shingles share a bucket, the
+#: less the order tells rare from common ones, and the larger the groups that are compared.
+SKETCH_BITS = 24
 _PARTS = 64
 #: Shingles of one block of a group of classes.
 BLOCK_SHINGLES = 1_500_000
@@ -52,50 +54,52 @@ def _sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
         yield np.unique(grams[a:b])
 
 
-def _bucket_counts(df: DataFrame, column: str, hashes: Callable[[pa.Array], Iterator[np.ndarray]]) -> np.ndarray:
-    """How many arrays of 64-bit hashes of distinct values fall in each of 2**SKETCH_BITS buckets.
+def _bucket_levels(df: DataFrame, column: str, hashes: Callable[[pa.Array], Iterator[np.ndarray]]) -> np.ndarray:
+    """In how many arrays of 64-bit hashes each of 2**SKETCH_BITS buckets occurs, on a scale of one byte.
 
-    Each task counts in a table of fixed size; tables are added up in parts.
+    The scale is logarithmic: 0 for none, more for more. Each task counts in a table of fixed size; tables are
+    added up in parts.
     """
     size = 1 << SKETCH_BITS
     step = size // _PARTS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, dtype=np.int64)
+        total = np.zeros(size, dtype=np.uint32)
         for batch in batches:
             for some in hashes(batch.column(column)):
-                np.add.at(total, _bucket(some), 1)
+                np.add.at(total, _bucket(some), np.uint32(1))
         if total.any():
-            kind = np.uint16 if total.max() < 1 << 16 else np.int64
-            parts = [total[i * step : (i + 1) * step].astype(kind).tobytes() for i in range(_PARTS)]
+            kind = next(k for k in (np.uint8, np.uint16, np.uint32) if total.max() <= np.iinfo(k).max)
+            # Most buckets of a task's table are empty, so it is sent compressed.
+            parts = [zlib.compress(total[i * step : (i + 1) * step].astype(kind).tobytes(), 1) for i in range(_PARTS)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(range(_PARTS), pa.int32()), pa.array(parts, pa.binary())], ["part", "counts"]
             )
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {step: np.uint8, 2 * step: np.uint16, 4 * step: np.uint32}
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, data in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist()):
-                kind = np.uint16 if len(data) == 2 * step else np.int64
-                sums[part] = sums.get(part, 0) + np.frombuffer(data, dtype=kind).astype(np.int64)
+                data = zlib.decompress(data)
+                sums[part] = sums.get(part, 0) + np.frombuffer(data, dtype=kinds[len(data)]).astype(np.int64)
         if sums:
+            levels = [np.minimum(255, np.ceil(8 * np.log2(x + 1))).astype(np.uint8).tobytes() for x in sums.values()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())],
-                ["part", "counts"],
+                [pa.array(list(sums), pa.int32()), pa.array(levels, pa.binary())], ["part", "levels"]
             )
 
     parts = df.select(column).mapInArrow(count, "part int, counts binary")
-    total = np.zeros(size, dtype=np.int64)
-    # 64 rows of fixed size, whatever the input.
-    for row in parts.repartition(_PARTS, "part").mapInArrow(add, "part int, counts binary").collect():
-        total[row["part"] * step : (row["part"] + 1) * step] = np.frombuffer(row["counts"], dtype=np.int64)
+    total = np.zeros(size, dtype=np.uint8)
+    # One byte per bucket, whatever the input.
+    for row in parts.repartition(_PARTS, "part").mapInArrow(add, "part int, levels binary").collect():
+        total[row["part"] * step : (row["part"] + 1) * step] = np.frombuffer(row["levels"], dtype=np.uint8)
     return total
 
 
 def _shingle_order(docs: DataFrame, n: int) -> np.ndarray:
     """Rank of every shingle bucket by the number of texts that have it."""
-    total = _bucket_counts(docs, "text", lambda texts: _sets(texts, n))
-    return np.searchsorted(np.unique(total), total).astype(np.uint32)
+    return _bucket_levels(docs, "text", lambda texts: _sets(texts, n))
 
 
 def _classes(docs: DataFrame, n: int) -> DataFrame:
@@ -247,7 +251,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     dealt = members.alias("m").join(pairs.alias("p"), on).select("p.*", "m.node", "m.one")
     dealt = stored(dealt, "dealt")
     # Texts surely of no member stay where they are: their keys fall in buckets without any.
-    wanted = spark.sparkContext.broadcast(_bucket_counts(dealt.select(F.col("one.text_key").alias("key")), "key", _scrambled) > 0)
+    wanted = spark.sparkContext.broadcast(_bucket_levels(dealt.select(F.col("one.text_key").alias("key")), "key", _scrambled) > 0)
 
     @F.pandas_udf("boolean")
     def may_be_member(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
