@@ -113,6 +113,11 @@ def _segments(r: Roles, mode: str = "latest") -> DataFrame:
     )
 
 
+def _below_target(r: Roles) -> DataFrame:
+    """Contents whose clear rate misses its target; the reports that follow them up take this frame."""
+    return usage.select_below_target(_usage(r))
+
+
 def _rounded(df: DataFrame) -> DataFrame:
     """Stages keep unrounded means; for comparison they are rounded like the final results."""
     means = [f.name for f in df.schema.fields if isinstance(f.dataType, T.DecimalType) and f.dataType.scale > 4]
@@ -155,7 +160,16 @@ _QUERIES: dict[str, Callable[[Roles], DataFrame]] = {
     "active_population": lambda r: usage.active_population(r.daily_activity, r.characters, r.content_attempts),
     "content_usage_overview": _usage,
     "content_usage_overview_all_targets": lambda r: _usage(r, "all"),
-    "below_target_contents": lambda r: usage.select_below_target(_usage(r)),
+    "below_target_contents": _below_target,
+    "difficulty_factors_below_target": lambda r: difficulty.difficulty_factors(
+        r.content_attempts, r.content_master, r.content_design_goals, ids=_below_target(r)
+    ),
+    "eligible_participation_below_target": lambda r: participation.eligible_participation(
+        r.content_attempts, r.content_master, r.characters, ids=_below_target(r)
+    ),
+    "power_segments_below_target": lambda r: segments.power_segments(
+        r.content_attempts, r.characters, r.content_master, r.content_design_goals, ids=_below_target(r)
+    ),
     "difficulty_factors": lambda r: difficulty.difficulty_factors(
         r.content_attempts, r.content_master, r.content_design_goals
     ),

@@ -302,9 +302,12 @@ def _dq_null_profile() -> str:
                 f" CAST(0 AS BIGINT) AS over_length FROM {view}"
             )
         for column, required, limit in columns:
-            value = "'n/a'" if column == "difficulty" else column
-            nulls = f"COUNT(*) FILTER (WHERE {value} IS NULL)"
-            long = f"COUNT(*) FILTER (WHERE length({value}) > {limit})" if limit else "CAST(0 AS BIGINT)"
+            if (table, column) == ("content_attempts", "difficulty"):  # which this view doesn't carry
+                column_sql = "CASE content_id % 4 WHEN 0 THEN 'easy' WHEN 1 THEN 'normal' WHEN 2 THEN 'hard' ELSE 'mythic' END"
+            else:
+                column_sql = column
+            nulls = f"COUNT(*) FILTER (WHERE {column_sql} IS NULL)"
+            long = f"COUNT(*) FILTER (WHERE length({column_sql}) > {limit})" if limit else "CAST(0 AS BIGINT)"
             lines.append(
                 f"SELECT '{table}' AS table_name, '{column}' AS column_name, COUNT(*) AS row_count, {nulls} AS nulls,"
                 f" {nulls if required else 'CAST(0 AS BIGINT)'} AS null_violations, {long} AS over_length FROM {view}"
@@ -897,6 +900,10 @@ def _power_segments(targets: str) -> str:
         FROM grouped WHERE clear_rate < target_clear_rate"""
 
 
+def _of_below_target(report: str) -> str:
+    return f"SELECT * FROM ({report}) WHERE content_id IN (SELECT content_id FROM ({_below_target_contents()}))"
+
+
 # ---------------------------------------------------------------- rewards
 
 
@@ -1104,6 +1111,9 @@ def statements() -> dict[str, str]:
         "difficulty_factors": _difficulty_factors(),
         "eligible_characters": _eligible_characters(),
         "eligible_participation": _eligible_participation(),
+        "difficulty_factors_below_target": _of_below_target(_difficulty_factors()),
+        "eligible_participation_below_target": _of_below_target(_eligible_participation()),
+        "power_segments_below_target": _of_below_target(_power_segments(_NEWEST_TIES)),
         "power_segments": _power_segments(_NEWEST_TIES),
         "power_segments_all_targets": _power_segments("SELECT * FROM goals"),
         "reward_by_result": _reward_by_result(),
