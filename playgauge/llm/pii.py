@@ -35,12 +35,14 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Wider candidates by kind, and a text's quick test for them.
+# A spelled-out address from its sign to the first letters after its first point.
+_SIGN = r"(?:\(at\)|\[at\]|\x20at\x20)\x20?[a-z0-9-]{1,63}"
+_POINT = r"(?:\.|\x20?\(dot\)\x20?|\x20?\[dot\]\x20?|\x20dot\x20)"
+#: Wider candidates by kind, and a text's quick test for them, which every match of the pattern passes.
 WIDER = {
     "email": (
-        r"(?i)[a-z0-9._%+-]{1,64}\x20?(?:\(at\)|\[at\]|\x20at\x20)\x20?[a-z0-9-]{1,63}"
-        r"(?:(?:\.|\x20?\(dot\)\x20?|\x20?\[dot\]\x20?|\x20dot\x20)[a-z0-9-]{2,63}){1,8}",
-        r"(?i)\(at\)|\[at\]|\x20dot\x20",
+        rf"(?i)[a-z0-9._%+-]{{1,64}}\x20?{_SIGN}(?:{_POINT}[a-z0-9-]{{2,63}}){{1,8}}",
+        rf"(?i){_SIGN}{_POINT}[a-z0-9-]{{2}}",
     ),
     "ip": (r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])", ":"),
     "phone": (r"(?<![0-9+(])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])", r"[0-9]{3}[\x20.-][0-9]{4}"),
