@@ -2,7 +2,10 @@
 
 A text unit is put into canonical form: lower case; lines that state a copyright go; spellings that mean the
 same become one; everything but letters and digits becomes single spaces. Units are the entire document, its
-paragraphs (parted by blank lines) and its lines, so that a licence pasted into a document is found whole.
+paragraphs (parted by blank lines), its lines, and runs of as many paragraphs as a known text has, so that a
+licence pasted between other paragraphs is found whole. Paragraphs that are empty in canonical form, such as a
+copyright notice, neither count in a run nor part it. A licence that shares its first or last paragraph with other
+text is not found.
 A unit holds a licence if the SHA-256 of its canonical form is that of one of the licence's texts.
 
 Nulls and unusual input: a null text has no units; units that are empty in canonical form match nothing. Rows of
@@ -11,6 +14,7 @@ null or repeated ``doc_id`` are scanned like others. An empty table gives an emp
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -61,6 +65,8 @@ SAME: tuple[tuple[str, str], ...] = (
     (r"copyright owner", "copyright holder"),
     (r"https:", "http:"),
 )
+#: What parts paragraphs.
+PARAGRAPHS = r"\n[\x20\t\r]*\n"
 #: A line that states a copyright: the word or sign, then a year or a name's sign.
 COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(?:copyright (?:\(c\)|©|[0-9])|\(c\) (?:copyright|[0-9])|© ?(?:copyright|[0-9]))[^\n]*$"
 
@@ -83,28 +89,65 @@ def known_digests(spark: SparkSession, texts: Mapping[str, Sequence[str]] = KNOW
     return made.select("licence", F.sha2(canonical("text"), 256).alias("digest")).distinct()
 
 
-def units(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``unit`` (text, paragraph or line), its ``number`` (from 1) and ``part``, the text of it."""
+def run_lengths(texts: Mapping[str, Sequence[str]] = KNOWN) -> list[int]:
+    """Numbers of paragraphs, from 2 on, that known texts have; those empty in canonical form don't count."""
+
+    def holds(part: str) -> bool:
+        return any(sign.isalnum() for sign in re.sub(COPYRIGHT_LINE, " ", part.lower()))
+
+    counts = {sum(map(holds, re.split(PARAGRAPHS, text))) for all_ in texts.values() for text in all_}
+    return sorted(n for n in counts if n > 1)
+
+
+def units(docs: DataFrame, lengths: Sequence[int] = ()) -> DataFrame:
+    """``doc_id``, ``unit`` (text, paragraph, line or paragraphs), its ``number`` (from 1) and canonical ``form``.
+
+    ``paragraphs`` are runs of ``lengths`` paragraphs, numbered by their first one; a run of all is the text.
+    """
     text = F.col("text").cast("string")
-    lines, paragraphs = F.split(text, "\n"), F.split(text, r"\n[\x20\t\r]*\n")
+    lines, paragraphs = F.split(text, "\n"), F.split(text, PARAGRAPHS)
+
+    def unit(kind: str, number: Column, part: Column, form: Column) -> Column:
+        return F.struct(F.lit(kind).alias("unit"), number.cast("long").alias("number"), part.alias("part"), form.alias("form"))
+
+    none = F.lit(None).cast("string")
 
     def numbered(kind: str, parts: Column) -> Column:
-        return F.transform(parts, lambda x, i: F.struct(F.lit(kind).alias("unit"), (i + 1).cast("long").alias("number"), x.alias("part")))
+        return F.transform(parts, lambda x, i: unit(kind, i + 1, x, none))
+
+    def runs(forms: Column, n: int) -> Column:
+        def run(i: Column) -> Column:
+            held = F.slice(forms, i, n)
+            return unit("paragraphs", held[0]["number"], none, F.array_join(F.transform(held, lambda p: p["form"]), " "))
+
+        return F.transform(F.when(F.size(forms) > n, F.sequence(F.lit(1), F.size(forms) - n + 1)).otherwise(F.array().cast("array<int>")), run)
 
     # A text of one line, or a paragraph of one line, is one unit only.
     several = F.filter(numbered("paragraph", paragraphs), lambda x: x["part"].contains("\n"))
-    every = F.concat(
+    every = [
         numbered("text", F.array(text)),
         F.when(F.size(paragraphs) > 1, several).otherwise(F.slice(several, 1, 0)),
         F.when(F.size(lines) > 1, numbered("line", lines)).otherwise(F.slice(numbered("line", lines), 1, 0)),
+    ]
+    if lengths:
+        forms = F.filter(
+            F.transform(paragraphs, lambda x, i: F.struct((i + 1).alias("number"), canonical(x).alias("form"))),
+            lambda p: p["form"] != "",
+        )
+        # Bound as a variable, so that the forms are computed once for all lengths.
+        found = F.flatten(F.transform(F.array(forms), lambda held: F.concat(*(runs(held, n) for n in lengths))))
+        every.append(F.when(F.size(paragraphs) > min(lengths), found).otherwise(F.slice(numbered("text", F.array(text)), 1, 0)))
+    return (
+        docs.where(text.isNotNull())
+        .select("doc_id", F.explode(F.concat(*every)).alias("u"))
+        .select("doc_id", "u.unit", "u.number", F.coalesce("u.form", canonical(F.col("u.part"))).alias("form"))
     )
-    return docs.where(text.isNotNull()).select("doc_id", F.explode(every).alias("u")).select("doc_id", "u.*")
 
 
-def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
+def scan(docs: DataFrame, texts: Mapping[str, Sequence[str]] = KNOWN) -> DataFrame:
     """One row per unit that is a known licence: doc_id, unit, number, licence."""
-    known = known_digests(docs.sparkSession) if known is None else known
-    found = units(docs).select("doc_id", "unit", "number", F.sha2(canonical("part"), 256).alias("digest"))
+    known = known_digests(docs.sparkSession, texts)
+    found = units(docs, run_lengths(texts)).select("doc_id", "unit", "number", F.sha2("form", 256).alias("digest"))
     empty = F.sha2(F.lit(""), 256)
     return (
         found.where(F.col("digest") != empty)
