@@ -178,3 +178,45 @@ def null_profile(df: DataFrame, table: Table) -> DataFrame:
         for c in table.columns
     ]
     return df.agg(*counts).select(F.inline(F.array(*lines)))
+
+
+def null_profiles(tables: Mapping[str, DataFrame], declared: Mapping[str, Table]) -> DataFrame:
+    """``null_profile`` of every declared table."""
+    return reduce(DataFrame.unionByName, [null_profile(tables[name], table) for name, table in declared.items()])
+
+
+def key_duplicates(tables: Mapping[str, DataFrame], declared: Mapping[str, Table]) -> DataFrame:
+    """Values of every declared key that occur more than once, with their row count.
+
+    Keys are text, NULLs in them the word NULL. A key column that the rows don't have is NULL in all of them.
+    """
+
+    def one(table: Table) -> DataFrame:
+        df = tables[table.name]
+        types = {c.name: c.data_type for c in table.columns}
+        absent = [name for name in table.key if name not in df.columns]
+        df = df.withColumns({name: F.lit(None).cast(types[name]) for name in absent})
+        value = F.concat_ws(",", *(F.coalesce(F.col(name).cast("string"), F.lit("NULL")) for name in table.key))
+        return pk_duplicates(df, table.key).select(F.lit(table.name).alias("table_name"), value.alias("key_value"), "n")
+
+    return reduce(DataFrame.unionByName, [one(table) for table in declared.values() if table.key])
+
+
+def orphan_keys(tables: Mapping[str, DataFrame], references: Sequence[Reference] = STANDARD_REFERENCES) -> DataFrame:
+    """Every referenced key without a parent, by reference, with its number of child rows."""
+
+    def one(ref: Reference) -> DataFrame:
+        refs = tables[ref.child].groupBy(ref.column).agg(F.count("*").alias("orphan_rows"))
+        if ref.ignore_null:
+            refs = refs.filter(F.col(ref.column).isNotNull())
+        parent = tables[ref.parent].select(F.col(ref.key).alias(ref.column))
+        lost = refs.join(parent, ref.column, "left_anti")
+        return lost.select(F.lit(ref.label).alias("fk"), F.col(ref.column).alias("orphan_key"), "orphan_rows")
+
+    return reduce(DataFrame.unionByName, [one(ref) for ref in references])
+
+
+def attempt_orphans(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """Number of attempts that miss their account, character or content."""
+    parents = (("account_id", "accounts"), ("character_id", "characters"), ("content_id", "content_master"))
+    return orphans_multi(tables["content_attempts"], [Parent(key, tables[name], key) for key, name in parents])

@@ -132,6 +132,10 @@ _QUERIES: dict[str, Callable[[Roles], DataFrame]] = {
     "dq_fk_summary": _dq_fk_summary,
     "dq_pk_duplicates": lambda r: quality.pk_duplicates(r.source("lineitem"), ["l_orderkey", "l_linenumber"]),
     "dq_null_profile": _dq_null_profile,
+    "dq_null_profile_all": lambda r: quality.null_profiles(r, TABLES),
+    "dq_pk_duplicates_all": lambda r: quality.key_duplicates(r, TABLES),
+    "dq_fk_orphans_all": quality.orphan_keys,
+    "dq_orphan_attempts": quality.attempt_orphans,
     "table_row_counts": lambda r: profile.row_counts(r, sort=True),
     "date_spans": lambda r: profile.date_spans(profile.standard_date_sources(r)),
     "population_summary": lambda r: profile.population_summary(r.accounts, r.characters),

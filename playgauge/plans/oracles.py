@@ -16,6 +16,7 @@ from playgauge.plans.catalog import (
     WINDOW_END,
     WINDOW_START,
 )
+from playgauge.sources.schemas import TABLES
 
 _TIER = "CASE n_nationkey % 4 WHEN 0 THEN 'easy' WHEN 1 THEN 'normal' WHEN 2 THEN 'hard' ELSE 'mythic' END"
 _TIER_TITLE = "CASE n_nationkey % 4 WHEN 0 THEN 'Easy' WHEN 1 THEN 'Normal' WHEN 2 THEN 'Hard' ELSE 'Mythic' END"
@@ -315,6 +316,107 @@ def _dq_null_profile() -> str:
     return _with("accounts attempts reward_logs") + _union(lines)
 
 
+# What each declared column of the other views is made of, as far as NULLs and lengths go.
+_MADE_OF = {
+    "characters": ("customer", {
+        "character_id": "c_custkey", "account_id": "c_custkey", "character_name": "c_name", "class_name": "c_mktsegment",
+        "created_at": "c_custkey", "level": "c_custkey", "combat_power": "c_acctbal",
+        "gear_score": "c_nationkey + c_custkey", "is_deleted": "c_acctbal",
+    }),
+    "content_master": ("nation JOIN region ON r_regionkey = n_regionkey", {
+        "content_id": "n_nationkey", "content_type": "r_name", "difficulty": "'mythic'",
+        "content_name": f"r_name || ' ' || {_TIER_TITLE}",
+        "required_level": "n_nationkey", "recommended_combat_power": "n_nationkey", "min_party_size": "1", "max_party_size": "4",
+        "entry_limit_type": "'weekly'", "entry_limit_count": "CASE WHEN n_nationkey % 5 > 0 THEN 1 END",
+        "expected_clear_time_sec": "n_nationkey", "release_date": "n_nationkey", "is_active": "n_nationkey",
+    }),
+    "content_design_goals": ("nation, (VALUES (0), (1)) v(k)", {
+        **dict.fromkeys((
+            "goal_id", "content_id", "target_participation_rate", "target_clear_rate", "target_avg_clear_time_sec",
+            "target_retry_rate", "target_death_count_avg", "target_reward_value", "valid_from",
+        ), "n_nationkey"),
+        "difficulty": "'mythic'", "season_id": "'S0'", "valid_to": "CASE k WHEN 0 THEN 1 END",
+    }),
+    "daily_activity": ("events", {
+        "activity_date": "ts", "account_id": "user_id", "character_id": "user_id", "login_count": "event_type", "session_count": "1",
+        "play_minutes": "value", "combat_minutes": "value", "non_combat_minutes": "value",
+        "content_attempt_count": "event_type", "boss_attempt_count": "event_type", "enhancement_attempt_count": "event_type",
+        "payment_count": "event_type", "earned_gold": "event_id", "spent_gold": "event_id",
+    }),
+    "boss_pattern_logs": ("lineitem", {
+        "pattern_log_id": "l_orderkey + l_linenumber", "attempt_id": "l_orderkey", "content_id": "l_orderkey", "phase_no": "l_linenumber",
+        "pattern_code": "l_returnflag", "pattern_name": "'Pattern ' || l_returnflag", "pattern_started_at": "l_shipdate",
+        "was_hit": "l_linestatus", "damage_taken": "l_extendedprice", "is_fatal": "l_discount",
+    }),
+    "enhancement_logs": ("part", {"enhancement_id": "p_partkey", "enhanced_at": "p_partkey"}),
+    "payments": ("(SELECT * FROM events WHERE event_type = 'purchase')", {
+        "payment_id": "event_id", "character_id": "user_id", "paid_at": "ts", "refund_at": "CASE WHEN event_id % 10 < 2 THEN ts END",
+    }),
+}
+
+
+def _dq_null_profile_all() -> str:
+    lines = [f"SELECT * FROM ({_dq_null_profile()})"]
+    for table, (source, made_of) in _MADE_OF.items():
+        for column in TABLES[table].columns:
+            value = made_of.get(column.name, "NULL")
+            nulls = f"COUNT(*) FILTER (WHERE ({value}) IS NULL)"
+            long = f"COUNT(*) FILTER (WHERE length({value}) > {column.max_length})" if column.max_length else "CAST(0 AS BIGINT)"
+            lines.append(
+                f"SELECT '{table}' AS table_name, '{column.name}' AS column_name, COUNT(*) AS row_count, {nulls} AS nulls,"
+                f" {nulls if column.required else 'CAST(0 AS BIGINT)'} AS null_violations, {long} AS over_length FROM {source}"
+            )
+    return _union(lines)
+
+
+def _dq_pk_duplicates_all() -> str:
+    keys = {
+        "accounts": ("customer", "c_custkey"),
+        "characters": ("customer", "c_custkey"),
+        "content_master": ("nation JOIN region ON r_regionkey = n_regionkey", "n_nationkey"),
+        "content_design_goals": ("nation, (VALUES (0), (1)) v(k)", "2 * n_nationkey + k"),
+        "content_attempts": ("orders", "o_orderkey"),
+        "boss_pattern_logs": ("lineitem", "l_orderkey * 10 + l_linenumber"),
+        "reward_logs": ("lineitem", "NULL"),  # a view without the key
+        "enhancement_logs": ("part", "p_partkey"),
+        "payments": ("(SELECT * FROM events WHERE event_type = 'purchase')", "event_id"),
+    }
+    return _union(
+        [
+            f"SELECT '{table}' AS table_name, COALESCE(CAST({key} AS VARCHAR), 'NULL') AS key_value, COUNT(*) AS n"
+            f" FROM {source} GROUP BY ALL HAVING COUNT(*) > 1"
+            for table, (source, key) in keys.items()
+        ]
+    )
+
+
+def _dq_fk_orphans_all() -> str:
+    def one(table: str, view: str, column: str, parent: str, parent_view: str, kept: str = "true") -> str:
+        return (
+            f"SELECT '{table}.{column}->{parent}.{column}' AS fk, CAST({column} AS BIGINT) AS orphan_key, COUNT(*) AS orphan_rows"
+            f" FROM {view} c WHERE {kept} AND NOT EXISTS (SELECT 1 FROM {parent_view} p WHERE p.{column} = c.{column}) GROUP BY ALL"
+        )
+
+    return _with("accounts characters attempts content_master pattern_logs reward_logs") + _union(
+        [
+            one("characters", "characters", "account_id", "accounts", "accounts"),
+            one("content_attempts", "attempts", "character_id", "characters", "characters"),
+            one("content_attempts", "attempts", "content_id", "content_master", "content_master"),
+            one("boss_pattern_logs", "pattern_logs", "attempt_id", "content_attempts", "attempts"),
+            one("reward_logs", "reward_logs", "attempt_id", "content_attempts", "attempts", "attempt_id IS NOT NULL"),
+        ]
+    )
+
+
+def _dq_orphan_attempts() -> str:
+    return _with("accounts characters attempts content_master") + (
+        "SELECT COUNT(*) AS orphan_rows FROM attempts a"
+        " WHERE NOT EXISTS (SELECT 1 FROM accounts p WHERE p.account_id = a.account_id)"
+        " OR NOT EXISTS (SELECT 1 FROM characters p WHERE p.character_id = a.character_id)"
+        " OR NOT EXISTS (SELECT 1 FROM content_master p WHERE p.content_id = a.content_id)"
+    )
+
+
 # ---------------------------------------------------------------- profiles
 
 _NAMES = {
@@ -1086,6 +1188,10 @@ def statements() -> dict[str, str]:
             " GROUP BY ALL HAVING COUNT(*) > 1"
         ),
         "dq_null_profile": _dq_null_profile(),
+        "dq_null_profile_all": _dq_null_profile_all(),
+        "dq_pk_duplicates_all": _dq_pk_duplicates_all(),
+        "dq_fk_orphans_all": _dq_fk_orphans_all(),
+        "dq_orphan_attempts": _dq_orphan_attempts(),
         "table_row_counts": _table_row_counts(),
         "date_spans": _date_spans(),
         "population_summary": _population_summary(),
