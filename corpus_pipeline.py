@@ -55,7 +55,8 @@ STAGES: list[tuple[str, Stage]] = [
     ("packing", pack_sequences),
 ]
 
-#: SQL can't express the learned stages; tests hold the pipeline against a brute-force version.
+#: SQL can't express the learned stages. `tests/llm/test_pipeline.py` holds the first four stages, each over the documents,
+#: against plain Python with the operators' own scores, spans and readings; `test_contracts.py` does so for packing.
 ORACLE_SQL: str | None = None
 
 
