@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playgauge.llm import licences, maxscore, mixing, ngram_join, packing, pii, simhash, token_rollup, toxicity, urls
+from playgauge.llm import bpe, infill, licences, maxscore, mixing, ngram_join, packing, phrases, pii, simhash, token_rollup, toxicity, urls
 from playgauge.llm.common import shared_folder
 
 
@@ -82,6 +82,33 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = bpe.coded(_table(spark, sf_dir, "documents").select("doc_id", "text"), decoded=True)
+    return done.select(
+        "doc_id",
+        F.expr("CAST(octet_length(ids) DIV 4 AS BIGINT)").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = infill.infilled(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(infill.restored(), 256).alias("restored_sha256"),
+    )
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
@@ -94,6 +121,9 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": op8_token_counts,
         "op9_toxicity": op9_toxicity,
         "op10_packing": op10_packing,
+        "op11_bpe": op11_bpe,
+        "op12_infill": op12_infill,
+        "op13_phrases": op13_phrases,
     }
 
 
@@ -216,6 +246,70 @@ SELECT source, lang, CASE WHEN again THEN 'words-2' ELSE 'words-1' END AS versio
 FROM d GROUP BY ALL
 """
 
+_OP12 = r"""
+WITH t AS (
+    SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h,
+           regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u
+    FROM documents
+), d AS (
+    SELECT *, CAST(len(u) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+           CAST('0x' || h[17:24] AS BIGINT) % 100 AS h3, CAST('0x' || h[25:32] AS BIGINT) % 100 AS h4
+    FROM t
+), c AS (
+    SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+           CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 >= 50 THEN 'plain'
+                WHEN h4 < 80 THEN 'spm' ELSE 'psm' END AS form
+    FROM d
+), p AS (
+    SELECT *, array_to_string(u[1:a], '') AS x, array_to_string(u[a + 1:b], '') AS y, array_to_string(u[b + 1:], '') AS z FROM c
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(x) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(y) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || x || '<S>' || z || '<M>' || y
+                        ELSE '<S>' || z || '<P>' || x || '<M>' || y END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+"""
+
+_OP13 = r"""
+WITH p AS (
+    SELECT lang, row_number() OVER () AS id, piece
+    FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)
+), w AS (
+    SELECT lang, id, unnest(ws) AS w, unnest(range(len(ws))) AS i
+    FROM (SELECT lang, id, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p)
+), o AS (
+    SELECT lang, w AS w1, lead(w, 1) OVER x AS w2, lead(w, 2) OVER x AS w3, lead(w, 3) OVER x AS w4 FROM w WINDOW x AS (PARTITION BY id ORDER BY i)
+), g AS (
+    SELECT lang, 1 AS k, w1 AS phrase FROM o
+    UNION ALL SELECT lang, 2, w1 || ' ' || w2 FROM o WHERE w2 IS NOT NULL
+    UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3 FROM o WHERE w3 IS NOT NULL
+    UNION ALL SELECT lang, 4, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 FROM o WHERE w4 IS NOT NULL
+), f AS (
+    SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30
+), c AS (
+    SELECT lang, phrase, f AS a, string_split(phrase, ' ') AS ws, k AS size FROM f WHERE k > 1
+), t AS (
+    SELECT c.*, cut, l.f AS l, r.f AS r,
+           CAST(2000000::HUGEINT * a // (l.f + r.f) AS BIGINT) AS score
+    FROM c, (VALUES (1), (2), (3)) AS v(cut)
+    JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(ws[1:cut], ' ')
+    JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(ws[cut + 1:], ' ')
+    WHERE cut < size
+), s AS (
+    SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), x AS (
+    SELECT lang, array_to_string(ws[i:j], ' ') AS phrase, max(a) AS around
+    FROM c, (VALUES (1, 2), (2, 3), (3, 4), (1, 3), (2, 4)) AS v(i, j) WHERE j <= size AND j - i + 1 < size GROUP BY ALL
+), b AS (
+    SELECT s.lang, CAST(row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.phrase) AS BIGINT) AS rank,
+           s.phrase, a, l, r, score
+    FROM s LEFT JOIN x ON s.lang = x.lang AND s.phrase = x.phrase WHERE around IS NULL OR 100 * around < 80 * a
+)
+SELECT b.*, CAST(n AS BIGINT) AS n FROM b JOIN (SELECT lang, count(*) AS n FROM w GROUP BY lang) USING (lang) WHERE rank <= 2000
+"""
+
 
 def statements() -> dict[str, str]:
     return {
@@ -224,4 +318,6 @@ def statements() -> dict[str, str]:
         "op4_licences": _op4(),
         "op6_maxscore": _OP6,
         "op8_token_counts": _OP8,
+        "op12_infill": _OP12,
+        "op13_phrases": _OP13,
     }
