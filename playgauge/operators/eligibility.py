@@ -19,7 +19,7 @@ def _power_type(content: DataFrame, characters: DataFrame, shares: Iterable[Deci
     if any(isinstance(k, (T.FloatType, T.DoubleType)) for k in kinds):
         return "double"
     scales = [k.scale if isinstance(k, T.DecimalType) else 0 for k in kinds]
-    digits = max((-s.normalize().as_tuple().exponent for s in shares if s is not None), default=0)
+    digits = max((-Decimal(str(s)).normalize().as_tuple().exponent for s in shares if s is not None), default=0)
     return f"decimal(38,{max(scales[0] + max(digits, 0), scales[1])})"
 
 

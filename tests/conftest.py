@@ -21,8 +21,3 @@ def spark(tmp_path_factory):
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
-
-
-def plan_of(df) -> str:
-    """Physical plan before adaptive changes."""
-    return df._jdf.queryExecution().executedPlan().toString()

@@ -3,7 +3,7 @@
 import re
 
 import pytest
-from conftest import plan_of
+from physical import plan_of
 
 from playgauge.operators import eligibility, gap, quality, segments, targets, usage
 from playgauge.plans.catalog import WINDOW_END, WINDOW_START, registered

@@ -5,7 +5,7 @@ from decimal import Decimal as D
 
 import game
 import pytest
-from conftest import plan_of
+from physical import plan_of
 from pyspark.sql import functions as F
 
 from playgauge.config import DEFAULT
