@@ -1,11 +1,5 @@
-import os
-import sys
-
 import pytest
-
-sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
-
-from conftest_llm import DOCS, ODD, rows_of  # noqa: E402
+from conftest_llm import DOCS, ODD, rows_of
 
 
 @pytest.fixture(scope="session")
