@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import sys
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows of an Arrow batch handed to Python. Texts may be long, so batches stay short.
@@ -36,11 +41,53 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
-    """The rows written as Parquet in the shared folder and read again, which cuts the lineage."""
+    """The rows written as Parquet in the shared folder and read again, which cuts the lineage.
+
+    The folder stays until ``discard`` or the end of a ``scratch`` around the call.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    for made in _scratches:
+        made.append(out)
+    return out
+
+
+_scratches: list[list[DataFrame]] = []
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a folder that ``stored`` made; nothing may read it any more, a lost task's second run included."""
+    jvm = df.sparkSession._jvm
+    path = jvm.org.apache.hadoop.fs.Path(df._stored_at)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def forget(df: DataFrame) -> None:
+    """Discard a frame of ``stored`` before the scratch around it ends."""
+    for made in _scratches:
+        made[:] = [other for other in made if other is not df]
+    discard(df)
+
+
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Discards at its end what ``stored`` made inside, but for frames taken off the list it gives."""
+    made: list[DataFrame] = []
+    _scratches.append(made)
+    try:
+        yield made
+    finally:
+        _scratches.remove(made)
+        for df in made:
+            discard(df)
+
+
+def field(name: str, of: str = "row") -> Column:
+    """A column of the input, carried in the struct ``of`` so that it can't clash with a helper column."""
+    return F.col(of).getField(name).alias(name)
 
 
 def extended(schema: T.StructType, ddl: str) -> T.StructType:
@@ -53,6 +100,31 @@ def worker_state() -> dict:
     return sys.modules.setdefault("playgauge_worker_state", ModuleType("playgauge_worker_state")).__dict__
 
 
+def thrifty(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function over a task's batches that hands free memory back to the system when it is done.
+
+    Workers serve task after task. What their allocators keep for later would otherwise count against the
+    executor for as long as the session lasts, beside what the next stage needs.
+    """
+
+    @functools.wraps(work)
+    def batches(found: Iterator) -> Iterator:
+        try:
+            yield from work(found)
+        finally:
+            hand_back()
+
+    return batches
+
+
+def hand_back() -> None:
+    """Return free memory of Arrow's and the C library's allocators; the latter only where it can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def short_batches(spark: SparkSession) -> None:
     """Keep Arrow batches short enough for long texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))

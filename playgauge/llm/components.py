@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from playgauge.llm.common import stored
+from playgauge.llm.common import forget, stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -30,7 +30,8 @@ def components(links: DataFrame) -> DataFrame:
         large = large.where("u > v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        links = stored(_tidy(small.unionByName(least.select("u", F.col("m").alias("v")))), "links")
+        old, links = links, stored(_tidy(small.unionByName(least.select("u", F.col("m").alias("v")))), "links")
+        forget(old)
     stars = links.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return stars.unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 

@@ -11,8 +11,8 @@ size, the slices' sums are added up, and rows add their own place within the sli
 
 Nulls and unusual input: a null text has no words; null sources form one source, the last in order.
 Documents without words are never taken. Null or repeated ``doc_id`` values are rows like others; rows
-equal in source, id and size are interchangeable. An empty table gives an empty result. Further columns
-pass through; ones named like the results are replaced.
+equal in source, id and size are interchangeable. An empty table gives an empty result. ``mix`` reads no further
+columns; ``mixed_documents`` gives them back as they were, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from playgauge.llm.common import stored
+from playgauge.llm.common import field, stored
 
 #: Readings in one slice of a running sum, about.
 SLICE_ROWS = 20_000
@@ -99,13 +99,12 @@ def mix(
 ) -> DataFrame:
     """One row per document, without its text, with what the mix takes of it.
 
-    Reads doc_id, source and text (or ``size``, if there is such a column). Gives doc_id, source,
-    ``text_key`` (a hash of the text), size, source_size, target (of the source), ``readings`` (taken
-    as a whole) and ``taken`` (words, including the last reading's cut one).
+    Reads doc_id, source and text. Gives doc_id, source, ``text_key`` (a hash of the text), size,
+    source_size, target (of the source), ``readings`` (taken as a whole) and ``taken`` (words, including
+    the last reading's cut one).
     """
-    size = F.col("size").cast("long") if "size" in docs.columns else word_count()
-    key = F.xxhash64("text") if "text" in docs.columns else F.lit(0).cast("long")
-    sizes = docs.select("doc_id", "source", key.alias("text_key"), F.coalesce(size, F.lit(0).cast("long")).alias("size"))
+    # Texts are counted once; what follows reads the counts.
+    sizes = stored(docs.select("doc_id", "source", F.xxhash64("text").alias("text_key"), word_count().alias("size")), "mix-sizes")
     targets = source_targets(sizes, weights, budget_share, max_epochs)
     rows = (
         sizes.alias("s")
@@ -146,19 +145,18 @@ def mix(
 
 def mixed_documents(docs: DataFrame, **params) -> DataFrame:
     """The documents, each as often as the mix reads it as a whole; the last reading, if cut, is left out."""
-    columns = docs.columns
     picks = mix(docs, **params).where("readings > 0")
     one = ["doc_id", "source", "text_key"]
-    picks = picks.groupBy(*one).agg(F.sum("readings").alias("_readings"))
-    rows = docs.withColumn("text_key", F.xxhash64("text")).alias("d")
+    picks = picks.groupBy(*one).agg(F.sum("readings").alias("readings"))
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", "source", F.xxhash64("text").alias("text_key")).alias("d")
     same = F.col("d.text_key") == F.col("p.text_key")
     for name in one[:2]:
         same = same & F.col(f"d.{name}").eqNullSafe(F.col(f"p.{name}"))
-    joined = rows.join(picks.alias("p"), same).select("d.*", "p._readings")
+    joined = rows.join(picks.alias("p"), same).select("d.*", "p.readings")
     # Repeated rows of a document share one count; the first stands for them.
     first = F.row_number().over(Window.partitionBy(*one).orderBy("doc_id"))
     return (
-        joined.withColumn("_first", first).where("_first = 1")
-        .withColumn("_reading", F.explode(F.sequence(F.lit(1), F.col("_readings").cast("int"))))
-        .select(*columns)
+        joined.withColumn("first", first).where("first = 1")
+        .withColumn("reading", F.explode(F.sequence(F.lit(1), F.col("readings").cast("int"))))
+        .select(*map(field, docs.columns))
     )

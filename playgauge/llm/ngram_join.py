@@ -19,7 +19,7 @@ hashes, classes by 63 bits of a digest of the set.
 
 Nulls and unusual input: a text without words, or null, has an empty set and is linked with nothing. A null
 ``doc_id`` never names a component unless all its documents' ids are null. Repeated rows are documents of one class.
-An empty table gives an empty result.
+An empty table gives an empty result. Other columns, whatever their names, come back from ``deduplicated`` as they were.
 """
 
 from __future__ import annotations
@@ -33,8 +33,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from playgauge.llm.common import gram_hashes, mixed, short_batches, stored, word_hashes
+from playgauge.llm.common import field, gram_hashes, mixed, short_batches, stored, thrifty, word_hashes
 from playgauge.llm.components import components
 from playgauge.llm.trie import allowed, join_sets
 
@@ -63,21 +64,25 @@ def _bucket_levels(df: DataFrame, column: str, hashes: Callable[[pa.Array], Iter
     size = 1 << SKETCH_BITS
     step = size // _PARTS
 
+    @thrifty
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, dtype=np.uint32)
+        # A task's counts stop at what 16 bits hold; the order needs no more.
+        total = np.zeros(size, dtype=np.uint16)
         for batch in batches:
             for some in hashes(batch.column(column)):
-                np.add.at(total, _bucket(some), np.uint32(1))
+                at, times = np.unique(_bucket(some), return_counts=True)
+                total[at] = np.minimum(total[at] + times, 0xFFFF)
         if total.any():
-            kind = next(k for k in (np.uint8, np.uint16, np.uint32) if total.max() <= np.iinfo(k).max)
+            kind = next(k for k in (np.uint8, np.uint16) if total.max() <= np.iinfo(k).max)
             # Most buckets of a task's table are empty, so it is sent compressed.
             parts = [zlib.compress(total[i * step : (i + 1) * step].astype(kind).tobytes(), 1) for i in range(_PARTS)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(range(_PARTS), pa.int32()), pa.array(parts, pa.binary())], ["part", "counts"]
             )
 
+    @thrifty
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = {step: np.uint8, 2 * step: np.uint16, 4 * step: np.uint32}
+        kinds = {step: np.uint8, 2 * step: np.uint16}
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, data in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist()):
@@ -105,6 +110,7 @@ def _shingle_order(docs: DataFrame, n: int) -> np.ndarray:
 def _classes(docs: DataFrame, n: int) -> DataFrame:
     """Per document: ``node`` (its class; null for an empty set) and size of the set."""
 
+    @thrifty
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [(_node(grams) if len(grams) else None, len(grams)) for grams in _sets(batch.column("text"), n)]
@@ -118,6 +124,7 @@ def _classes(docs: DataFrame, n: int) -> DataFrame:
 def _beginnings(docs: DataFrame, order, n: int, percent: int) -> DataFrame:
     """Per class: ``node``, size of the set ``n`` and the beginning of the ordered set."""
 
+    @thrifty
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = order.value
         for batch in batches:
@@ -175,6 +182,7 @@ def _joined(texts: DataFrame, order, n: int, percent: int) -> DataFrame:
     ``texts`` has group, first, second (blocks), block, node, text.
     """
 
+    @thrifty
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = order.value
         key, held = None, []
@@ -284,11 +292,11 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
 
 def deduplicated(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The documents, one of each component; all documents without words stay."""
-    columns = docs.columns
     kept = near_duplicates(docs, n, percent).where("kept").select("doc_id", "text_key", (F.col("n_shingles") == 0).alias("bare")).distinct()
-    rows = docs.withColumn("text_key", F.xxhash64("text"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_key"))
     same: Column = (F.col("d.text_key") == F.col("k.text_key")) & F.col("d.doc_id").eqNullSafe(F.col("k.doc_id"))
     rows = rows.alias("d").join(kept.alias("k"), same).select("d.*", "k.bare")
-    # Rows repeated in id and text: the first stands for them.
-    first = F.row_number().over(Window.partitionBy("text_key", "doc_id").orderBy("doc_id"))
-    return rows.withColumn("_first", first).where("bare OR _first = 1").select(*columns)
+    # Rows repeated in id and text: the first by the other plain columns stands for them.
+    plain = [field(f.name) for f in docs.schema.fields if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType))]
+    first = F.row_number().over(Window.partitionBy("text_key", "doc_id").orderBy(F.xxhash64(*plain)))
+    return rows.withColumn("first", first).where("bare OR first = 1").select(*map(field, docs.columns))

@@ -12,7 +12,8 @@ All steps are SQL expressions. Candidates meet only as counts of equal votes, at
 the whole fit is one fold over them; the weights come back as literals of the second pass over the texts.
 
 Nulls and unusual input: a null text is empty and has no spans. Other columns, nulls and repeats in them
-included, pass through; columns named like the results are replaced. An empty table gives an empty result.
+included, pass through whatever their names; ``label_spans`` alone replaces columns named like its two results. An
+empty table gives an empty result.
 Positions are code points, ends are exclusive.
 """
 
@@ -23,6 +24,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from playgauge.llm.common import field
+
 KINDS = ("email", "ip", "card", "phone")
 THRESHOLD = 0.5
 
@@ -226,6 +229,12 @@ def fit(docs: DataFrame, em_steps: int = 20, steps: int = 300, rate: float = 2.0
 
 def label_spans(docs: DataFrame, model: PiiModel) -> DataFrame:
     """The rows with ``base_spans`` and ``spans``: arrays of kind (number in ``KINDS``), s and e, in that order."""
+    kept = [field(c) for c in docs.columns if c not in ("base_spans", "spans")]
+    return _labelled(docs, model).select(*kept, "base_spans", "spans")
+
+
+def _labelled(docs: DataFrame, model: PiiModel) -> DataFrame:
+    """The input's ``row`` as a struct, its text, and its spans."""
     w = model.weights
     terms = [f"{w[0]!r}D", f"CASE c.kind {' '.join(f'WHEN {k} THEN {w[1 + k]!r}D' for k in range(len(KINDS)))} END"]
     at = 1 + len(KINDS)
@@ -233,14 +242,14 @@ def label_spans(docs: DataFrame, model: PiiModel) -> DataFrame:
     terms += [f"{w[at + 2 + j]!r}D * c.{vote}" for j, vote in enumerate(_VOTES)]
     likely = f"1 / (1 + exp(-({' + '.join(terms)})))"
     short = "transform({0}, c -> named_struct('kind', c.kind, 's', c.s, 'e', c.e))"
-    out = candidates(docs.drop("base_spans", "spans"))
+    out = candidates(docs.select(F.struct("*").alias("row"), "text"))
     added = f"filter(_more, c -> c.form = 1 AND {likely} >= {THRESHOLD}D)"
-    return out.withColumns(
-        {
-            "base_spans": F.expr(f"array_sort({short.format('_base')})"),
-            "spans": F.expr(f"array_distinct(array_sort({short.format(f'concat(_base, {added})')}))"),
-        }
-    ).drop("_base", "_more")
+    return out.select(
+        "row",
+        "text",
+        F.expr(f"array_sort({short.format('_base')})").alias("base_spans"),
+        F.expr(f"array_distinct(array_sort({short.format(f'concat(_base, {added})')}))").alias("spans"),
+    )
 
 
 def written(spans: str) -> Column:
@@ -261,4 +270,4 @@ def redacted(docs: DataFrame, model: PiiModel) -> DataFrame:
         "a -> concat(a.out, array(substr(text, a.at + 1))))"
     )
     text = F.when(F.size("spans") > 0, F.expr(f"array_join({pieces}, '')")).otherwise(F.col("text"))
-    return label_spans(docs, model).withColumn("text", text).drop("base_spans", "spans")
+    return _labelled(docs, model).select(*(text.alias("text") if c == "text" else field(c) for c in docs.columns))

@@ -1,16 +1,21 @@
 """Token totals by source, language and tokenizer version, kept up to date by signed changes.
 
 A change is +1 document with its tokens (insert), -1 (delete), or both for a new count of a document. Only
-sums of changes are stored: each commit writes its batch's sums in a folder of its own, named by the batch,
-and replaces what a failed or repeated commit of the same batch left there. Totals are sums over batches, so
-the documents are never counted again, and batches may arrive in any order.
+sums of changes are stored: each commit writes its batch's sums in a folder of its own and then names it in a log.
+Of a batch committed twice the later counts, and what a failed commit left behind doesn't. Totals are sums over
+batches, so the documents are never counted again, and batches may arrive in any order.
 
 Nulls and unusual input: null sources and languages are groups of their own; a null text has no tokens.
-Repeated rows are changes like others. A group that all its documents have left is not listed.
+Repeated rows are changes like others. A group that all its documents have left is not listed. Batches of an empty
+table are committed like others and add nothing; ``totals`` of a folder without any commit fails, as nothing is there.
+Long texts are counted whole, in place. Columns beside source, lang and text are kept only where ``also`` names them.
 """
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,19 +57,31 @@ def revised(docs: DataFrame, old: str, new: str) -> DataFrame:
 
 
 def commit(folder: str, batch: int, changes: DataFrame) -> None:
-    """Store a batch's sums. Committing a batch again replaces them, so nothing counts twice.
+    """Store a batch's sums, then name them in the log, which makes them count.
 
+    Sums go to a folder of their own, never over others, and a commit that dies before its row is in the log
+    leaves files that nobody reads. Committing a batch again adds a later row, and the latest counts alone.
     Fits ``foreachBatch`` of a stream as ``lambda changes, batch: commit(folder, batch, changes)``.
     """
+    attempt = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
     sums = changes.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-    sums.write.mode("overwrite").parquet(f"{folder}/batch={int(batch)}")
+    sums.write.parquet(f"{folder}/sums/batch={int(batch)}/attempt={attempt}")
+    _log(changes.sparkSession, folder, int(batch), attempt)
+
+
+def _log(spark: SparkSession, folder: str, batch: int, attempt: str) -> None:
+    row = spark.range(1, numPartitions=1).select(F.lit(batch).cast("long").alias("batch"), F.lit(attempt).alias("attempt"))
+    row.write.mode("append").parquet(f"{folder}/log")
 
 
 def totals(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents and tokens of every group that still has any."""
-    stored = spark.read.schema(f"{CHANGES}, batch long").parquet(folder)
+    """Documents and tokens of every group that still has any, by the log's latest attempt of each batch."""
+    log = spark.read.schema("batch long, attempt string").parquet(f"{folder}/log")
+    latest = log.groupBy("batch").agg(F.max("attempt").alias("attempt"))
+    sums = spark.read.schema(f"{CHANGES}, batch long, attempt string").parquet(f"{folder}/sums")
     return (
-        stored.groupBy(*KEYS)
+        sums.join(latest, ["batch", "attempt"], "left_semi")
+        .groupBy(*KEYS)
         .agg(F.sum("docs").alias("n_docs"), F.sum("tokens").alias("n_tokens"))
         .where("n_docs <> 0 OR n_tokens <> 0")
     )
