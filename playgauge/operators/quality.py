@@ -188,14 +188,17 @@ def null_profiles(tables: Mapping[str, DataFrame], declared: Mapping[str, Table]
 def key_duplicates(tables: Mapping[str, DataFrame], declared: Mapping[str, Table]) -> DataFrame:
     """Values of every declared key that occur more than once, with their row count.
 
-    Keys are text, NULLs in them the word NULL. A key column that the rows don't have is NULL in all of them.
+    Keys are text, NULLs in them the word NULL. A table that lacks a column of its key has one row, which names the
+    column and has no count.
     """
 
     def one(table: Table) -> DataFrame:
         df = tables[table.name]
-        types = {c.name: c.data_type for c in table.columns}
         absent = [name for name in table.key if name not in df.columns]
-        df = df.withColumns({name: F.lit(None).cast(types[name]) for name in absent})
+        if absent:
+            told = F.lit(f"absent: {', '.join(absent)}").alias("key_value")
+            one_row = df.sparkSession.range(1, numPartitions=1)
+            return one_row.select(F.lit(table.name).alias("table_name"), told, F.lit(None).cast("bigint").alias("n"))
         value = F.concat_ws(",", *(F.coalesce(F.col(name).cast("string"), F.lit("NULL")) for name in table.key))
         return pk_duplicates(df, table.key).select(F.lit(table.name).alias("table_name"), value.alias("key_value"), "n")
 

@@ -26,6 +26,9 @@ def _tiered(a: str, b: str, c: str, d: str) -> str:
     return f"(CASE n_nationkey % 4 WHEN 0 THEN {a} WHEN 1 THEN {b} WHEN 2 THEN {c} ELSE {d} END)"
 
 
+_VERSIONS = """(SELECT * FROM nation, (VALUES (0), (1), (2), (3), (4)) v(k)
+    WHERE k < 2 OR (k = 2 AND n_nationkey % 3 = 0) OR (k = 3 AND n_nationkey % 6 = 0) OR (k = 4 AND n_nationkey % 5 = 0))"""
+
 _ROLES = {
     "accounts": """
         SELECT c_custkey AS account_id,
@@ -35,16 +38,16 @@ _ROLES = {
                CAST(c_custkey % 10 = 0 AS INTEGER) AS is_tester
         FROM customer""",
     "characters": """
-        SELECT c_custkey AS character_id, c_custkey // 2 AS account_id,
+        SELECT c_custkey AS character_id, IF(c_custkey % 71 = 3, c_custkey + 100000000, c_custkey // 2) AS account_id,
                TIMESTAMP '1995-02-01' + to_days(CAST(c_custkey % 900 AS INTEGER)) AS created_at,
-               c_custkey % 100 AS level, CAST(c_acctbal AS DECIMAL(12,2)) AS combat_power,
+               c_custkey % 100 AS level, CAST(IF(c_custkey % 43 = 7, NULL, c_acctbal) AS DECIMAL(12,2)) AS combat_power,
                c_nationkey * 10 + c_custkey % 10 AS gear_score,
                CAST(c_acctbal < 0 AS INTEGER) AS is_deleted
         FROM customer""",
     "content_master": f"""
         SELECT n_nationkey AS content_id, r_name || ' ' || {_TIER_TITLE} AS content_name,
                r_name AS content_type, {_TIER} AS difficulty, 3 * n_nationkey AS required_level,
-               1000 + 300 * n_nationkey AS recommended_combat_power,
+               IF(n_nationkey = 5, 0, 1000 + 300 * n_nationkey) AS recommended_combat_power,
                1 AS min_party_size, 4 AS max_party_size,
                CASE n_nationkey % 2 WHEN 0 THEN 'daily' ELSE 'weekly' END AS entry_limit_type,
                CASE WHEN n_nationkey % 5 > 0 THEN n_nationkey % 4 + 1 END AS entry_limit_count,
@@ -53,7 +56,7 @@ _ROLES = {
                CAST(n_nationkey <> 7 AS INTEGER) AS is_active
         FROM nation JOIN region ON r_regionkey = n_regionkey""",
     "goals": f"""
-        SELECT 2 * n_nationkey + k AS goal_id, n_nationkey AS content_id, {_TIER} AS difficulty,
+        SELECT 5 * n_nationkey + k AS goal_id, n_nationkey AS content_id, {_TIER} AS difficulty,
                'S' || k AS season_id,
                CAST({_tiered('45', '31', '20', '12')} AS DECIMAL(5,2)) AS target_participation_rate,
                CAST({_tiered('40', '34', '33', '30')} - 2 * k AS DECIMAL(5,2)) AS target_clear_rate,
@@ -61,12 +64,13 @@ _ROLES = {
                CAST({_tiered('18', '24', '30', '36')} AS DECIMAL(5,2)) AS target_retry_rate,
                CAST({_tiered('0.5', '1.5', '2.5', '4.5')} AS DECIMAL(5,2)) AS target_death_count_avg,
                {_tiered('12000', '24000', '36000', '48000')} AS target_reward_value,
-               CASE k WHEN 0 THEN DATE '1995-01-01' ELSE DATE '1998-01-01' END AS valid_from,
+               CASE WHEN k = 0 THEN DATE '1995-01-01' WHEN k IN (2, 3) THEN DATE '1996-06-01' ELSE DATE '1998-01-01' END AS valid_from,
                CASE k WHEN 0 THEN DATE '1997-12-31' END AS valid_to
-        FROM nation CROSS JOIN (VALUES (0), (1)) AS version(k)""",
+        FROM {_VERSIONS}""",
     "attempts": """
-        SELECT o_orderkey AS attempt_id, o_custkey // 2 AS account_id, o_custkey AS character_id,
-               o_orderkey % 23 AS content_id,
+        SELECT o_orderkey AS attempt_id, IF(o_orderkey % 83 = 2, -o_custkey, o_custkey // 2) AS account_id,
+               IF(o_orderkey % 89 = 1, -o_custkey, o_custkey) AS character_id,
+               IF(o_orderkey % 97 = 0, 90 + o_orderkey % 3, o_orderkey % 23) AS content_id,
                CASE WHEN o_orderkey % 4 <> 0 THEN o_orderkey // 4 END AS party_id,
                o_orderdate AS attempt_started_at,
                CASE WHEN o_orderstatus <> 'P' OR o_orderpriority <> '1-URGENT'
@@ -81,7 +85,7 @@ _ROLES = {
                CAST(o_orderstatus = 'F' AND o_orderkey % 10 <> 0 AS INTEGER) AS reward_claimed
         FROM orders""",
     "pattern_logs": """
-        SELECT l_orderkey AS attempt_id, l_orderkey % 23 AS content_id, l_linenumber AS phase_no,
+        SELECT IF(l_orderkey % 79 = 4, -l_orderkey, l_orderkey) AS attempt_id, l_orderkey % 23 AS content_id, l_linenumber AS phase_no,
                l_returnflag AS pattern_code, 'Pattern ' || l_returnflag AS pattern_name,
                l_shipdate AS pattern_started_at,
                CAST(l_linestatus = 'F' AS INTEGER) AS was_hit,
@@ -89,7 +93,7 @@ _ROLES = {
                CAST(l_linestatus = 'F' AND CAST(l_discount AS DECIMAL(4,2)) >= 0.08 AS INTEGER) AS is_fatal
         FROM lineitem""",
     "reward_logs": """
-        SELECT CASE WHEN l_linenumber <> 7 THEN l_orderkey END AS attempt_id,
+        SELECT CASE WHEN l_linenumber <> 7 THEN IF(l_orderkey % 73 = 5, -l_orderkey, l_orderkey) END AS attempt_id,
                CASE WHEN l_linenumber <> 6 THEN l_orderkey % 23 END AS content_id,
                l_shipdate AS rewarded_at,
                CASE l_returnflag WHEN 'R' THEN 'content_clear' WHEN 'A' THEN 'drop' ELSE 'event' END AS reward_source,
@@ -97,7 +101,7 @@ _ROLES = {
                CASE WHEN l_discount <> 0 THEN CAST(l_extendedprice AS DECIMAL(14,2)) END AS estimated_gold_value
         FROM lineitem""",
     "enhancements": """
-        SELECT p_partkey AS enhancement_id,
+        SELECT IF(p_partkey % 500 = 1, p_partkey - 1, p_partkey) AS enhancement_id,
                TIMESTAMP '1996-03-01' + to_days(CAST(p_partkey % 1000 AS INTEGER)) AS enhanced_at
         FROM part""",
     "activity": """
@@ -320,7 +324,7 @@ def _dq_null_profile() -> str:
 _MADE_OF = {
     "characters": ("customer", {
         "character_id": "c_custkey", "account_id": "c_custkey", "character_name": "c_name", "class_name": "c_mktsegment",
-        "created_at": "c_custkey", "level": "c_custkey", "combat_power": "c_acctbal",
+        "created_at": "c_custkey", "level": "c_custkey", "combat_power": "IF(c_custkey % 43 = 7, NULL, c_acctbal)",
         "gear_score": "c_nationkey + c_custkey", "is_deleted": "c_acctbal",
     }),
     "content_master": ("nation JOIN region ON r_regionkey = n_regionkey", {
@@ -330,7 +334,7 @@ _MADE_OF = {
         "entry_limit_type": "'weekly'", "entry_limit_count": "CASE WHEN n_nationkey % 5 > 0 THEN 1 END",
         "expected_clear_time_sec": "n_nationkey", "release_date": "n_nationkey", "is_active": "n_nationkey",
     }),
-    "content_design_goals": ("nation, (VALUES (0), (1)) v(k)", {
+    "content_design_goals": (_VERSIONS, {
         **dict.fromkeys((
             "goal_id", "content_id", "target_participation_rate", "target_clear_rate", "target_avg_clear_time_sec",
             "target_retry_rate", "target_death_count_avg", "target_reward_value", "valid_from",
@@ -374,11 +378,10 @@ def _dq_pk_duplicates_all() -> str:
         "accounts": ("customer", "c_custkey"),
         "characters": ("customer", "c_custkey"),
         "content_master": ("nation JOIN region ON r_regionkey = n_regionkey", "n_nationkey"),
-        "content_design_goals": ("nation, (VALUES (0), (1)) v(k)", "2 * n_nationkey + k"),
+        "content_design_goals": (_VERSIONS, "5 * n_nationkey + k"),
         "content_attempts": ("orders", "o_orderkey"),
         "boss_pattern_logs": ("lineitem", "l_orderkey * 10 + l_linenumber"),
-        "reward_logs": ("lineitem", "NULL"),  # a view without the key
-        "enhancement_logs": ("part", "p_partkey"),
+        "enhancement_logs": ("part", "IF(p_partkey % 500 = 1, p_partkey - 1, p_partkey)"),
         "payments": ("(SELECT * FROM events WHERE event_type = 'purchase')", "event_id"),
     }
     return _union(
@@ -387,6 +390,8 @@ def _dq_pk_duplicates_all() -> str:
             f" FROM {source} GROUP BY ALL HAVING COUNT(*) > 1"
             for table, (source, key) in keys.items()
         ]
+        # a view without the key
+        + ["SELECT 'reward_logs', 'absent: reward_id', CAST(NULL AS BIGINT)"]
     )
 
 
@@ -983,7 +988,8 @@ def _eligible_participation() -> str:
 def _power_segments(targets: str) -> str:
     rows = f"""
         SELECT content_id, content_name, m.difficulty, party_member_count, character_id, result,
-               recommended_combat_power, {_BAND} AS power_band
+               recommended_combat_power,
+               CASE WHEN COALESCE(recommended_combat_power, 0) = 0 THEN '05_120_and_over' ELSE {_BAND} END AS power_band
         FROM attempts JOIN characters USING (character_id) JOIN content_master m USING (content_id)"""
     grouped = f"""
         SELECT content_id, content_name, difficulty, party_member_count, power_band, recommended_combat_power,
@@ -1219,8 +1225,8 @@ def statements() -> dict[str, str]:
         "eligible_participation": _eligible_participation(),
         "difficulty_factors_below_target": _of_below_target(_difficulty_factors()),
         "eligible_participation_below_target": _of_below_target(_eligible_participation()),
-        "power_segments_below_target": _of_below_target(_power_segments(_NEWEST_TIES)),
-        "power_segments": _power_segments(_NEWEST_TIES),
+        "power_segments_below_target": _of_below_target(_power_segments(_NEWEST)),
+        "power_segments": _power_segments(_NEWEST),
         "power_segments_all_targets": _power_segments("SELECT * FROM goals"),
         "reward_by_result": _reward_by_result(),
         "reward_by_tier": _reward_by_tier(),

@@ -2,6 +2,10 @@
 
 Each role is a projection (and at most a small dimension join) of one source
 table, so scans keep their column pruning and filter pushdown.
+
+Faults and corner cases are planted in them, so that the checks can fail: references
+to parents that don't exist, repeated keys, missing and zero powers, several goal
+versions inside the analysis window, and versions that begin on one day.
 """
 
 from __future__ import annotations
@@ -47,6 +51,8 @@ def _by_tier(*values: str) -> str:
     cases = " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values))
     return f"CASE n_nationkey % 4 {cases} END"
 
+GOAL_VERSIONS = "k < 2 OR k = 2 AND n_nationkey % 3 = 0 OR k = 3 AND n_nationkey % 6 = 0 OR k = 4 AND n_nationkey % 5 = 0"
+
 
 class Roles(Mapping[str, DataFrame]):
     """Role views of one data folder by table name, built on first use."""
@@ -84,12 +90,12 @@ class Roles(Mapping[str, DataFrame]):
     def characters(self) -> DataFrame:
         return self.source("customer").selectExpr(
             "c_custkey AS character_id",
-            "c_custkey DIV 2 AS account_id",
+            "CASE WHEN c_custkey % 71 = 3 THEN c_custkey + 100000000 ELSE c_custkey DIV 2 END AS account_id",
             "c_name AS character_name",
             "c_mktsegment AS class_name",
             "timestamp_ntz'1995-02-01 00:00:00' + make_dt_interval(CAST(c_custkey % 900 AS INT)) AS created_at",
             "CAST(c_custkey % 100 AS INT) AS level",
-            "CAST(c_acctbal AS DECIMAL(12,2)) AS combat_power",
+            "CAST(CASE WHEN c_custkey % 43 <> 7 THEN c_acctbal END AS DECIMAL(12,2)) AS combat_power",
             "CAST(c_nationkey * 10 + c_custkey % 10 AS INT) AS gear_score",
             "CAST(c_acctbal < 0 AS INT) AS is_deleted",
         )
@@ -105,7 +111,7 @@ class Roles(Mapping[str, DataFrame]):
             "r_name AS content_type",
             f"{_by_tier(*map(repr, TIERS))} AS difficulty",
             "CAST(3 * n_nationkey AS INT) AS required_level",
-            "CAST(1000 + 300 * n_nationkey AS BIGINT) AS recommended_combat_power",
+            "CAST(CASE WHEN n_nationkey = 5 THEN 0 ELSE 1000 + 300 * n_nationkey END AS BIGINT) AS recommended_combat_power",
             "1 AS min_party_size",
             "4 AS max_party_size",
             "CASE WHEN n_nationkey % 2 = 0 THEN 'daily' ELSE 'weekly' END AS entry_limit_type",
@@ -117,9 +123,11 @@ class Roles(Mapping[str, DataFrame]):
 
     @cached_property
     def content_design_goals(self) -> DataFrame:
-        versions = self.source("nation").withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
+        # Two versions each; one or two inside the window of 1996 for every third content, the two on one day;
+        # for every fifth, two newest ones.
+        versions = self.source("nation").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(4)))).filter(GOAL_VERSIONS)
         return versions.selectExpr(
-            "CAST(2 * n_nationkey + k AS BIGINT) AS goal_id",
+            "CAST(5 * n_nationkey + k AS BIGINT) AS goal_id",
             "CAST(n_nationkey AS BIGINT) AS content_id",
             f"{_by_tier(*map(repr, TIERS))} AS difficulty",
             "concat('S', k) AS season_id",
@@ -129,7 +137,8 @@ class Roles(Mapping[str, DataFrame]):
             f"CAST({_by_tier('18', '24', '30', '36')} AS DECIMAL(5,2)) AS target_retry_rate",
             f"CAST({_by_tier('0.5', '1.5', '2.5', '4.5')} AS DECIMAL(5,2)) AS target_death_count_avg",
             f"CAST({_by_tier('12000', '24000', '36000', '48000')} AS BIGINT) AS target_reward_value",
-            "CASE k WHEN 0 THEN DATE'1995-01-01' ELSE DATE'1998-01-01' END AS valid_from",
+            "CASE k WHEN 0 THEN DATE'1995-01-01' WHEN 2 THEN DATE'1996-06-01' WHEN 3 THEN DATE'1996-06-01'"
+            " ELSE DATE'1998-01-01' END AS valid_from",
             "CASE k WHEN 0 THEN DATE'1997-12-31' END AS valid_to",
         )
 
@@ -137,9 +146,9 @@ class Roles(Mapping[str, DataFrame]):
     def content_attempts(self) -> DataFrame:
         return self.source("orders").selectExpr(
             "o_orderkey AS attempt_id",
-            "o_custkey DIV 2 AS account_id",
-            "o_custkey AS character_id",
-            "o_orderkey % 23 AS content_id",
+            "CASE WHEN o_orderkey % 83 = 2 THEN -o_custkey ELSE o_custkey DIV 2 END AS account_id",
+            "CASE WHEN o_orderkey % 89 = 1 THEN -o_custkey ELSE o_custkey END AS character_id",
+            "CASE WHEN o_orderkey % 97 = 0 THEN 90 + o_orderkey % 3 ELSE o_orderkey % 23 END AS content_id",
             "CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderkey DIV 4 END AS party_id",
             "o_orderdate AS attempt_started_at",
             "CASE WHEN o_orderstatus = 'P' AND o_orderpriority = '1-URGENT' THEN NULL"
@@ -161,7 +170,7 @@ class Roles(Mapping[str, DataFrame]):
     def boss_pattern_logs(self) -> DataFrame:
         return self.source("lineitem").selectExpr(
             "l_orderkey * 10 + l_linenumber AS pattern_log_id",
-            "l_orderkey AS attempt_id",
+            "CASE WHEN l_orderkey % 79 = 4 THEN -l_orderkey ELSE l_orderkey END AS attempt_id",
             "l_orderkey % 23 AS content_id",
             "l_linenumber AS phase_no",
             "l_returnflag AS pattern_code",
@@ -175,7 +184,7 @@ class Roles(Mapping[str, DataFrame]):
     @cached_property
     def reward_logs(self) -> DataFrame:
         return self.source("lineitem").selectExpr(
-            "CASE WHEN l_linenumber = 7 THEN NULL ELSE l_orderkey END AS attempt_id",
+            "CASE WHEN l_linenumber = 7 THEN NULL WHEN l_orderkey % 73 = 5 THEN -l_orderkey ELSE l_orderkey END AS attempt_id",
             "CASE WHEN l_linenumber = 6 THEN NULL ELSE l_orderkey % 23 END AS content_id",
             "l_shipdate AS rewarded_at",
             "CASE l_returnflag WHEN 'R' THEN 'content_clear' WHEN 'A' THEN 'drop' ELSE 'event' END AS reward_source",
@@ -187,7 +196,7 @@ class Roles(Mapping[str, DataFrame]):
     @cached_property
     def enhancement_logs(self) -> DataFrame:
         return self.source("part").selectExpr(
-            "p_partkey AS enhancement_id",
+            "p_partkey - CAST(p_partkey % 500 = 1 AS INT) AS enhancement_id",
             "timestamp_ntz'1996-03-01 00:00:00' + make_dt_interval(CAST(p_partkey % 1000 AS INT)) AS enhanced_at",
         )
 
