@@ -26,6 +26,7 @@ from playgauge.operators import (
     usage,
 )
 from playgauge.plans.roles import Roles
+from playgauge.sources import loading
 from playgauge.sources.schemas import TABLES
 
 # Arguments of the registered queries; the SQL checks use the same values.
@@ -78,6 +79,11 @@ def _dq_null_profile(r: Roles) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def _load_quarantine(r: Roles) -> DataFrame:
+    table = TABLES["content_attempts"]
+    return loading.outcome_counts(loading.judged(loading.parse_lines(r.attempt_lines, table), table), table)
+
+
 def _usage(r: Roles, mode: str = "latest") -> DataFrame:
     return usage.usage_overview(
         r.content_attempts,
@@ -125,6 +131,7 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 
 _QUERIES: dict[str, Callable[[Roles], DataFrame]] = {
+    "load_quarantine": _load_quarantine,
     "dq_rules": lambda r: quality.run_rules(r, quality.standard_rules(PLAY_MINUTES_CAP)),
     "dq_reward_on_failed": lambda r: quality.reward_on_failed(r.reward_logs, r.content_attempts),
     "dq_orphan_multi_parent": _dq_orphan_multi_parent,

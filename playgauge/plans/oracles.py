@@ -182,6 +182,22 @@ def _union(parts: list[str]) -> str:
 # ---------------------------------------------------------------- quality
 
 
+def _load_quarantine() -> str:
+    # The faults of the lines, by reason.
+    faults = {
+        "bad_value:attempt_id": "o_orderkey % 101 = 3",
+        "missing:account_id": "o_orderkey % 103 = 5",
+        "too_long:result": "o_orderkey % 107 = 7",
+        "bad_value:attempt_started_at": "o_orderkey % 113 = 13",
+        "malformed_row": "o_orderkey % 109 = 11 OR o_orderkey % 131 = 19",
+        "missing:reward_claimed": "o_orderkey % 131 = 19",
+    }
+    anything = " OR ".join(faults.values())
+    labels = [f"SELECT IF({anything}, 'quarantined', 'accepted') AS outcome FROM orders"]
+    labels += [f"SELECT '{reason}' FROM orders WHERE {fault}" for reason, fault in faults.items()]
+    return f"SELECT 'content_attempts' AS table_name, outcome, COUNT(*) AS \"rows\" FROM ({_union(labels)}) GROUP BY ALL"
+
+
 def _dq_rules() -> str:
     return _with("activity attempts payments") + _union(
         [
@@ -1184,6 +1200,7 @@ def _pattern_incidence_by_band() -> str:
 
 def statements() -> dict[str, str]:
     return {
+        "load_quarantine": _load_quarantine(),
         "dq_rules": _dq_rules(),
         "dq_reward_on_failed": _dq_reward_on_failed(),
         "dq_orphan_multi_parent": _dq_orphan_multi_parent(),

@@ -166,6 +166,27 @@ class Roles(Mapping[str, DataFrame]):
             "CAST(o_orderstatus = 'F' AND o_orderkey % 10 <> 0 AS INT) AS reward_claimed",
         )
 
+    @cached_property
+    def attempt_lines(self) -> DataFrame:
+        """Attempts as lines of a CSV file, with fields that don't meet the declaration here and there."""
+        fields = [
+            "concat(IF(o_orderkey % 101 = 3, 'x', ''), o_orderkey)",
+            "IF(o_orderkey % 103 = 5, '', CAST(o_custkey DIV 2 AS STRING))",
+            "o_custkey",
+            "o_orderkey % 23",
+            "IF(o_orderkey % 4 = 0, '', CAST(o_orderkey DIV 4 AS STRING))",
+            "IF(o_orderkey % 113 = 13, '1996-02-30 00:00:00', date_format(o_orderdate, 'yyyy-MM-dd HH:mm:ss'))",
+            "''",
+            "'hard'",
+            "IF(o_orderkey % 107 = 7, repeat('r', 21), 'fail')",
+            "o_orderkey % 900",
+            "IF(o_orderkey % 127 = 17, '\"wiped, twice\"', '')",
+            *(f"o_orderkey % {n}" for n in (7, 3, 11, 4)),
+        ]
+        line = ", ',', ".join(f"CAST({f} AS STRING)" for f in fields)
+        ending = "CASE WHEN o_orderkey % 131 = 19 THEN '' WHEN o_orderkey % 109 = 11 THEN ',,1,more' ELSE ',,1' END"
+        return self.source("orders").selectExpr(f"concat({line}, {ending}) AS value")
+
     @cached_property
     def boss_pattern_logs(self) -> DataFrame:
         return self.source("lineitem").selectExpr(

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from playgauge.sources.schemas import TABLES, Col, Table
 
-_MALFORMED = "_malformed"
+MALFORMED = "_malformed"
 
 
 @dataclass(frozen=True)
@@ -34,7 +34,8 @@ def read_csv(
     """Load comma-separated UTF-8 text with a header line against a declared table.
 
     Fields are taken by position; ``file_columns`` gives their order where the
-    file differs from the declaration. Every field is read as text and then
+    file differs from the declaration. A file whose header line names other columns,
+    or these in another order, makes the read fail. Every field is read as text and then
     converted, so one bad field rejects its row with a reason instead of
     failing the load or turning into a wrong value. Empty optional fields become
     NULL. ``multiline`` allows line breaks inside quotes, at the price of one
@@ -42,42 +43,62 @@ def read_csv(
     accepted rows fails at the first rejected one.
     """
     table = TABLES[name]
+    return check_rows(text_rows(spark, table, path, file_columns, escape, multiline), table, rejected)
+
+
+def text_rows(
+    spark: SparkSession,
+    table: Table,
+    path: str | Sequence[str],
+    file_columns: Sequence[str] | None = None,
+    escape: str = '"',
+    multiline: bool = False,
+) -> DataFrame:
+    """A declared table's CSV files as rows of text fields, with the line of a malformed row."""
     order = list(file_columns or table.names)
     if sorted(order) != sorted(table.names):
-        raise ValueError(f"file_columns must name exactly the columns of {name}")
-    raw_schema = T.StructType([T.StructField(c, T.StringType()) for c in [*order, _MALFORMED]])
-    raw = (
+        raise ValueError(f"file_columns must name exactly the columns of {table.name}")
+    raw_schema = T.StructType([T.StructField(c, T.StringType()) for c in [*order, MALFORMED]])
+    return (
         spark.read.schema(raw_schema)
         .option("header", True)
+        .option("enforceSchema", False)
         .option("sep", ",")
         .option("quote", '"')
         .option("escape", escape)
         .option("encoding", "UTF-8")
         .option("multiLine", multiline)
         .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", _MALFORMED)
+        .option("columnNameOfCorruptRecord", MALFORMED)
         .csv(path)
     )
-    return check_rows(raw, table, rejected)
 
 
 def check_rows(raw: DataFrame, table: Table, rejected: str = "split") -> CheckedLoad:
     """Split rows of text fields into typed accepted rows and rejected rows, or fail on reading past one."""
-    checks = [F.when(F.col(_MALFORMED).isNotNull(), F.lit("malformed_row"))]
-    for column in table.columns:
-        checks.extend(_checks(column))
-    judged = raw.withColumn("reasons", F.array_compact(F.array(*checks)))
+    judged = raw.withColumn("reasons", reasons_of(table))
     good = F.size("reasons") == 0
     if rejected == "fail":
         reason = F.concat(F.lit(f"{table.name}: rejected row: "), F.array_join("reasons", ", "))
         good = F.when(good, F.lit(True)).otherwise(F.raise_error(reason).cast("boolean"))
-    accepted = judged.filter(good).select(
-        *(_typed(column).alias(column.name) for column in table.columns)
-    )
-    bad = judged.filter(F.size("reasons") > 0).select(*table.names, _MALFORMED, "reasons")
+    accepted = judged.filter(good).select(*typed_columns(table))
+    bad = judged.filter(F.size("reasons") > 0).select(*table.names, MALFORMED, "reasons")
     return CheckedLoad(accepted, bad)
 
 
+def reasons_of(table: Table) -> Column:
+    """Why a row of text fields doesn't meet the declaration; empty if it does."""
+    checks = [F.when(F.col(MALFORMED).isNotNull(), F.lit("malformed_row"))]
+    for column in table.columns:
+        checks.extend(_checks(column))
+    return F.array_compact(F.array(*checks))
+
+
+def typed_columns(table: Table) -> list[Column]:
+    """The declared columns, converted from text fields."""
+    return [_typed(column).alias(column.name) for column in table.columns]
+
+
 def _text_of(column: Col) -> Column:
     field = F.col(column.name)
     if column.required and column.kind == "text":
