@@ -10,8 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from playgauge.functions.ordered import BLOCKS, running_totals
 from playgauge.functions.period import in_period
 
+#: Different levels, and different powers, up to which the requirements are kept in arrays.
+MOST_EDGES = 256
+
 
 def _power_type(content: DataFrame, characters: DataFrame, shares: Iterable[Decimal | None]) -> str:
     """A type that holds every power and every share of a recommended power without rounding."""
@@ -48,6 +52,8 @@ def threshold_counts(
     content: DataFrame,
     characters: DataFrame,
     requirements: Mapping[str, Decimal | None],
+    most_edges: int = MOST_EDGES,
+    blocks: int = BLOCKS,
 ) -> DataFrame:
     """Per content, the characters at or above its level and a share of its power.
 
@@ -55,11 +61,10 @@ def threshold_counts(
     that is needed, or to None where the level alone decides. ``characters``
     holds each character once.
 
-    Characters never meet contents row by row. Each character is placed in a
-    cell by the number of distinct level and power thresholds it reaches, and
-    only the cell counts are shuffled. A content then asks for the sum of all
-    cells at or beyond its own two thresholds, which a running sum over the
-    cells gives. The edges of the cells are the thresholds, so this is exact.
+    Characters never meet contents row by row. The different thresholds are counted
+    first, in one small job over the contents. Up to ``most_edges`` of them per axis are
+    kept in arrays (``_by_cells``); beyond that, thresholds and characters are sorted
+    together by range (``_by_ranges``). Both are exact.
     """
     power_type = _power_type(content, characters, requirements.values())
     asks = content.select(
@@ -80,6 +85,70 @@ def threshold_counts(
             )
         ),
     )
+    size = asks.agg(
+        F.count_distinct("level_edge").alias("levels"),
+        F.count_distinct("power_edge").alias("powers"),
+        F.min("level_edge").alias("low"),
+        F.max("level_edge").alias("high"),
+    ).first()
+    people = characters.select(F.col("level").cast("int").alias("level"), F.col("combat_power").cast(power_type).alias("power"))
+    if max(size["levels"], size["powers"]) <= most_edges:
+        answered = _by_cells(asks, people)
+    else:
+        answered = _by_ranges(asks, people, size["low"], size["high"], blocks)
+    return answered.groupBy("content_id").agg(
+        *(
+            F.coalesce(F.max(F.when(F.col("requirement") == name, F.col("n"))), F.lit(0)).alias(name)
+            for name in requirements
+        )
+    )
+
+
+def _by_ranges(asks: DataFrame, people: DataFrame, low: int, high: int, blocks: int) -> DataFrame:
+    """``content_id``, ``requirement`` and ``n`` for any number of thresholds.
+
+    Levels from a threshold up are a few nodes of a binary tree over the levels between the least and the greatest
+    threshold: the threshold's own leaf, and the right sibling wherever its path goes left. People of one level and
+    power are one row, and count for every node on their path. Within a node, how many reach a power is a running
+    total by falling power, summed in blocks; people without a power come last, where only requirements without one
+    ask.
+    """
+    height = (high - low).bit_length()
+    apart = 1 << 40  # nodes of one height are numbered below this
+
+    def node(h: int, at: Column) -> Column:
+        return F.lit(h * apart) + at
+
+    place = F.least(F.col("level"), F.lit(high)) - F.lit(low)
+    points = people.filter(F.col("level") >= low).groupBy(place.cast("bigint").alias("at"), "power").agg(F.count("*").alias("n"))
+    path = F.array(*(node(h, F.shiftright("at", h)) for h in range(height + 1)))
+    points = points.select(F.explode(path).alias("node"), "power", "n")
+
+    known = asks.filter(F.col("level_edge").isNotNull() & (~F.col("needs_power") | F.col("power_edge").isNotNull()))
+    known = known.withColumn("power", F.when(F.col("needs_power"), F.col("power_edge")))
+    at = (F.col("level_edge") - F.lit(low)).cast("bigint")
+    right = [F.when(F.shiftright("at", h) % 2 == 0, node(h, F.shiftright("at", h) + 1)) for h in range(height)]
+    # Contents of equal thresholds ask once.
+    each = known.select(at.alias("at"), "power").distinct()
+    each = each.withColumn("node", F.explode(F.array_compact(F.array(node(0, F.col("at")), *right))))
+    table = running_totals(points.unionByName(each.select("node", "power", F.lit(0).cast("bigint").alias("n"))), "power", ["n"], ["node"], blocks)
+    same = (F.col("e.node") == F.col("t.node")) & F.col("e.power").eqNullSafe(F.col("t.power"))
+    sums = each.alias("e").join(table.alias("t"), same).groupBy("e.at", "e.power").agg(F.sum(F.col("t.n") + F.col("t.n_above")).alias("n"))
+    asked = known.select("content_id", "requirement", at.alias("at"), "power").alias("a")
+    same = (F.col("a.at") == F.col("s.at")) & F.col("a.power").eqNullSafe(F.col("s.power"))
+    found = asked.join(sums.alias("s"), same).select("a.content_id", "a.requirement", "s.n")
+    # A missing requirement is met by nobody.
+    rest = asks.filter(F.col("level_edge").isNull() | (F.col("needs_power") & F.col("power_edge").isNull()))
+    return found.unionByName(rest.select("content_id", "requirement", F.lit(0).cast("bigint").alias("n")))
+
+
+def _by_cells(asks: DataFrame, people: DataFrame) -> DataFrame:
+    """``content_id``, ``requirement`` and ``n`` where the thresholds fit in arrays.
+
+    Each character is placed in a cell by the number of distinct level and power thresholds it reaches, and
+    only the cell counts are shuffled. A content then asks for the sum of all cells at or beyond its own two
+    thresholds, which a running sum over the cells gives. The edges of the cells are the thresholds.
+    """
     sorted_edges = asks.agg(
         F.array_sort(F.collect_set("level_edge")).alias("levels"),
         F.array_sort(F.collect_set("power_edge")).alias("powers"),
@@ -91,8 +160,7 @@ def threshold_counts(
         "power_steps": sorted_edges.select(_steps(F.col("powers"))).scalar(),
     }
     cells = (
-        characters.select(F.col("level").cast("int").alias("level"), F.col("combat_power").cast(power_type).alias("power"))
-        .withColumns(edges)
+        people.withColumns(edges)
         .select(
             _met("levels", "level_steps", F.col("level")).alias("level_rank"),
             _met("powers", "power_steps", F.col("power")).alias("power_rank"),
@@ -124,17 +192,12 @@ def threshold_counts(
     # The asks run along in the window with a count of nothing and read the sum there;
     # a missing requirement has no rank and is met by nobody.
     known = F.col("level_rank").isNotNull() & F.col("power_rank").isNotNull()
-    answered = (
+    return (
         ranked.withColumn("n", F.lit(0).cast("bigint"))
         .unionByName(reached, allowMissingColumns=True)
         .withColumn("n", F.when(known, F.sum("n").over(from_here_up)))
         .filter(F.col("content_id").isNotNull())
-    )
-    return answered.groupBy("content_id").agg(
-        *(
-            F.coalesce(F.max(F.when(F.col("requirement") == name, F.col("n"))), F.lit(0)).alias(name)
-            for name in requirements
-        )
+        .select("content_id", "requirement", "n")
     )
 
 
