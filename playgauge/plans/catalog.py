@@ -121,7 +121,7 @@ def _segments(r: Roles, mode: str = "latest") -> DataFrame:
 
 def _below_target(r: Roles) -> DataFrame:
     """Contents whose clear rate misses its target; the reports that follow them up take this frame."""
-    return usage.select_below_target(_usage(r))
+    return usage.below_target(r.content_attempts, r.content_master, r.content_design_goals)
 
 
 def _rounded(df: DataFrame) -> DataFrame:
