@@ -79,19 +79,19 @@ def orphans_multi(fact: DataFrame, parents: Sequence[Parent]) -> DataFrame:
     """Number of fact rows that miss at least one parent; a NULL reference misses.
 
     Rows are first reduced to their distinct reference combinations with a row
-    count, so the joins move combinations, not facts.
+    count, so the joins move combinations, not facts. Combinations with a NULL miss
+    without a join; the others are complete if they survive a semi join with every
+    parent, whose keys may repeat.
     """
     columns = list(dict.fromkeys(p.column for p in parents))
     combos = fact.groupBy(*columns).agg(F.count("*").alias("_rows"))
-    found = []
-    for i, parent in enumerate(parents):
-        flag = f"_found_{i}"
-        known = parent.frame.select(F.col(parent.key).alias(parent.column)).distinct().withColumn(flag, F.lit(True))
-        combos = combos.join(known, parent.column, "left")
-        found.append(F.col(flag).isNotNull())
-    complete = reduce(lambda a, b: a & b, found)
-    missing = F.sum(F.when(~complete, F.col("_rows")).otherwise(0))
-    return combos.agg(F.coalesce(missing, F.lit(0)).alias("orphan_rows"))
+    complete = combos.dropna("any", subset=columns)
+    for parent in parents:
+        known = parent.frame.select(F.col(parent.key).alias(parent.column))
+        complete = complete.join(known, parent.column, "left_semi")
+    whole = fact.agg(F.count("*").alias("_rows"))
+    both = whole.unionByName(complete.select((-F.col("_rows")).alias("_rows")))
+    return both.agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("orphan_rows"))
 
 
 def orphans(child: DataFrame, column: str, parent: DataFrame, key: str, ignore_null: bool = False) -> DataFrame:
