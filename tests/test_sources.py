@@ -14,7 +14,7 @@ from playgauge.functions.period import DAY_COLUMN, in_period
 from playgauge.operators import patterns
 from playgauge.sources.reader import load_report, read_csv, read_table, read_tables, schema_report
 from playgauge.sources.schemas import TABLES
-from playgauge.sources.writer import write_bucketed, write_result, write_table
+from playgauge.sources.writer import compact_days, write_bucketed, write_days, write_result, write_table
 
 GOALS = """goal_id,content_id,difficulty,season_id,target_participation_rate,target_clear_rate,\
 target_avg_clear_time_sec,target_retry_rate,target_death_count_avg,target_reward_value,valid_from,valid_to
@@ -155,3 +155,37 @@ def test_localized_values(spark):
     named = localize(spark.createDataFrame([(1,)], "pattern_log_count int"), "pattern_by_result", code="P999")
     assert named.columns == ["P999 로그 수"]
     assert set(VALUES) - set(HEADERS) == {"usage_overview"}
+
+
+def test_a_day_loaded_twice_stays_one_copy(spark, tmp_path):
+    path = str(tmp_path / "attempts")
+    attempts = game.attempts(spark)
+    write_table(attempts, "content_attempts", path)
+    days = [r[0] for r in attempts.select(F.to_date("attempt_started_at")).distinct().orderBy(1).collect()]
+    again = in_period(attempts, "attempt_started_at", days[0], days[0]).withColumn("death_count", F.lit(77))
+    for _ in range(2):
+        write_days(again, "content_attempts", path)
+        stored = spark.read.parquet(path)
+        assert stored.count() == attempts.count()
+        deaths = {r[0]: r[1] for r in stored.groupBy(F.to_date("attempt_started_at")).agg(F.min("death_count")).collect()}
+        assert deaths[days[0]] == 77 and all(n != 77 for day, n in deaths.items() if day != days[0])
+
+
+def test_days_are_compacted(spark, tmp_path):
+    path = str(tmp_path / "attempts")
+    attempts = game.attempts(spark)
+    attempts.repartition(8).withColumn(DAY_COLUMN, F.to_date("attempt_started_at")).write.partitionBy(DAY_COLUMN).parquet(path)
+    before = len(spark.read.parquet(path).inputFiles())
+    days = [r[0] for r in attempts.select(F.to_date("attempt_started_at")).distinct().orderBy(1).collect()]
+    compact_days(spark, "content_attempts", path, days[0], days[-1])
+    after = spark.read.parquet(path)
+    assert len(after.inputFiles()) == len(days) < before
+    assert sorted(map(str, after.select(*attempts.columns).collect())) == sorted(map(str, attempts.collect()))
+
+
+def test_dimensions_have_no_days(spark, tmp_path):
+    path = tmp_path / "characters"
+    write_table(game.characters(spark), "characters", str(path))
+    assert not [p for p in path.iterdir() if p.is_dir()]
+    with pytest.raises(ValueError):
+        write_days(game.characters(spark), "characters", str(path))
