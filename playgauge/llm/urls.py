@@ -3,10 +3,12 @@
 A rule names a host and a beginning of the path, like ``example.net/en/``. It fits that host and all its
 subdomains where the URL's path begins with the rule's; the longest rule that fits decides. Without a rule the
 vocabulary does: all terms are looked up at once in host and path, a hit counts only where no letter or digit
-adjoins it, and a URL is rejected on one strict term or on ``soft_hits`` different soft ones.
+adjoins it, and a URL is rejected on one strict term or on ``soft_hits`` different soft ones. Terms may also have
+points of their own, as from a table (``Vocabulary.of_table``).
 
 Nulls and unusual input: a null URL, or one without ``://``, has an empty host and path, no rule and no
-terms, and is allowed. Further columns pass through; ones named like the results are replaced.
+terms, and is allowed. A long host or path is read once. Repeated rows are judged alike; an empty table gives an empty
+result. Further columns pass through; ones named like the results are replaced.
 """
 
 from __future__ import annotations
@@ -38,34 +40,48 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Terms, lower-case ASCII. One strict term rejects, and so do ``soft_hits`` different soft ones."""
+    """Terms, lower-case ASCII. One strict term rejects, and so do ``soft_hits`` different soft ones.
+
+    A soft term is a point and a strict one ``soft_hits`` of them; ``pointed`` terms have points of their own, negative
+    ones too. Points of different terms add up.
+    """
 
     strict: tuple[str, ...] = STRICT
     soft: tuple[str, ...] = SOFT
     soft_hits: int = 2
+    pointed: tuple[tuple[str, int], ...] = ()
+
+    @classmethod
+    def of_table(cls, terms: DataFrame, enough: int) -> Vocabulary:
+        """A vocabulary of the rows' ``term`` and ``points``, which reject from ``enough`` points on; nulls and empty terms are left out."""
+        known = terms.where("term <> '' AND points IS NOT NULL").groupBy(F.translate("term", UPPER, LOWER).alias("term"))
+        rows = known.agg(F.max("points").cast("int").alias("points")).limit(MOST_RULES + 1).collect()  # checked below
+        if len(rows) > MOST_RULES:
+            raise ValueError(f"at most {MOST_RULES} terms")
+        return cls((), (), enough, tuple(sorted((r["term"], r["points"]) for r in rows)))
+
+    def __len__(self) -> int:
+        return len(self.strict) + len(self.soft) + len(self.pointed)
 
     def automaton(self) -> ahocorasick.Automaton:
         found = ahocorasick.Automaton()
-        for term in self.soft:
-            found.add_word(term, (term, False))
-        for term in self.strict:
-            found.add_word(term, (term, True))
+        points = dict.fromkeys(self.soft, 1) | dict.fromkeys(self.strict, self.soft_hits) | dict(self.pointed)
+        for term, n in points.items():
+            found.add_word(term, (term, n))
         if len(found):
             found.make_automaton()
         return found
 
     def rejects(self, automaton: ahocorasick.Automaton, text: str) -> bool:
-        soft = set()
+        met: dict[str, int] = {}
         if not len(automaton):
             return False
-        for end, (term, strict) in automaton.iter(text):
+        for end, (term, points) in automaton.iter(text):
             before = end - len(term)
             if (before >= 0 and _joins(text[before])) or (end + 1 < len(text) and _joins(text[end + 1])):
                 continue
-            if strict:
-                return True
-            soft.add(term)
-        return len(soft) >= self.soft_hits
+            met[term] = points
+        return bool(met) and sum(met.values()) >= self.soft_hits
 
 
 def _joins(sign: str) -> bool:
@@ -88,16 +104,19 @@ def filtered(
     url: str = "url",
 ) -> DataFrame:
     """The rows with ``host``, ``path``, ``rule`` and ``verdict`` (allow or block)."""
-    if len(rules) > MOST_RULES or len(vocabulary.strict) + len(vocabulary.soft) > MOST_RULES:
+    if len(rules) > MOST_RULES or len(vocabulary) > MOST_RULES:
         raise ValueError(f"at most {MOST_RULES} rules and terms")
     by_host: dict[str, list[tuple[str, str, str]]] = {}
     for rule, verdict in sorted(rules, key=lambda r: (-len(r[0]), r[0])):
         host, slash, path = rule.partition("/")
         by_host.setdefault(host, []).append((slash + path, rule, verdict))
 
+    longest = max(map(len, by_host), default=0)
+
     def decide(host: str, path: str, automaton: ahocorasick.Automaton) -> tuple[str | None, str]:
         best = None
-        at = 0
+        # Only what is left of the host from some label on, and no longer than a rule's, can be a rule's host.
+        at = 0 if len(host) <= longest else host.find(".", len(host) - longest - 1) + 1 or -1
         while at >= 0:
             for start, rule, verdict in by_host.get(host[at:], ()):
                 if path.startswith(start) and (best is None or len(rule) > len(best[0])):
