@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from playgauge.llm import bpe, infill, licences, maxscore, mixing, ngram_join, packing, phrases, pii, simhash, token_rollup, toxicity, urls
-from playgauge.llm.common import shared_folder
+from playgauge.llm.common import shared_folder, stored
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,13 +49,20 @@ def op6_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.edited_likeness(_table(spark, sf_dir, "documents"))
+    """As the contract says, and for documents of ids divisible by 20 the number of different fingerprints near theirs."""
+    done = stored(simhash.edited_likeness(_table(spark, sf_dir, "documents")), "fingerprints")
+    asks = F.coalesce(F.col("doc_id") % 20 == 0, F.lit(False))
+    asked = done.where(asks)
+    near = simhash.near_counts(asked, done)
+    rest = done.where(~asks).withColumn("n_near", F.lit(None).cast("long"))
+    return asked.join(near, "fingerprint", "left").unionByName(rest)
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after three batches: all documents in; those not in English counted anew; toxic ones out."""
     folder = f"{shared_folder(spark).rstrip('/')}/token-counts-{uuid.uuid4().hex}"
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    docs = stored(token_rollup.ledger(docs, "words-1", "words-2"), "token-ledger")
     toxic = _table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct()
     foreign = F.coalesce(F.col("lang") != "en", F.lit(True))
     token_rollup.commit(folder, 0, token_rollup.counted(docs, "words-1"))
@@ -63,7 +70,6 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     token_rollup.commit(folder, 1, again)
     out = token_rollup.counted(docs.where(~foreign), "words-1", -1, "doc_id")
     out = out.unionByName(token_rollup.counted(docs.where(foreign), "words-2", -1, "doc_id"))
-    # Counts meet the ids, not texts. The ids are distinct; a semi join would be pushed below the counting.
     out = out.join(toxic, "doc_id")
     token_rollup.commit(folder, 2, out)
     # As a restarted job would: the same batch once more.

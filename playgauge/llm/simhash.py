@@ -4,8 +4,12 @@ Every occurrence of a word n-gram votes on each bit with its hash, so a gram wei
 frequent in the text. Shorter texts vote with their whole sequence. Fingerprints have 128 bits, written as
 32 hexadecimal digits; likeness is the share of equal bits.
 
+``neighbours`` gives the pairs of a few queries; ``near_counts`` counts for many, without a pair leaving its task. A
+block value that very many fingerprints share is cut into slices that meet slice by slice.
+
 Nulls and unusual input: a null text is empty; texts without words have the fingerprint of zeros. Null ids
-come before others, rows of one id are ordered by text. Columns beside those read are ignored.
+come before others, rows of one id are ordered by text. Columns beside those read are ignored. An empty table gives an
+empty result. Very long texts vote in steps of bounded size.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from playgauge.llm.common import gram_hashes, mixed, short_batches, word_hashes
+from playgauge.llm.common import gram_hashes, hand_back, mixed, short_batches, stored, thrifty, word_hashes
 
 BITS = 128
 #: Grams of one vote count, and texts of one step.
@@ -29,6 +33,10 @@ STEP_TEXTS = 200
 #: Ranges of ids at most, whose bounds the driver holds.
 MOST_RANGES = 10_000
 RANGE_ROWS = 4_000
+#: Fingerprints of one block value that meet in one task, rows of a task, and pairs compared in one step.
+SLICE = 20_000
+DEALT_ROWS = 50_000
+STEP_PAIRS = 1 << 20
 
 _SET = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float64)
 
@@ -110,7 +118,8 @@ def in_order(docs: DataFrame) -> DataFrame:
     sent = sent.select("doc_id", "text", F.explode(F.concat(places, F.coalesce(again, F.array().cast("array<struct<range:int,after:boolean>>")))).alias("p"))
     return (
         sent.select("p.range", "p.after", "doc_id", "text")
-        .repartition(len(found), "range")
+        # Ranges follow the numbers of their tasks, so none share one by chance.
+        .repartitionById(found[-1][0] + 1, "range")
         .sortWithinPartitions("range", "after", F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
     )
 
@@ -130,6 +139,7 @@ def edited_likeness(docs: DataFrame, share: int = 4, n: int = 3) -> DataFrame:
     short_batches(docs.sparkSession)
     ordered = in_order(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
 
+    @thrifty
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # The last document of the rows so far waits for the one after it.
         now, waiting = None, None
@@ -187,6 +197,74 @@ def distance(a: str, b: str) -> Column:
     return sum(halves[1:], halves[0])
 
 
+def near_counts(queries: DataFrame, every: DataFrame, radius: int = 3) -> DataFrame:
+    """How many different fingerprints lie within the radius of each: ``fingerprint`` and ``n_near``.
+
+    Both sides have ``fingerprint``; equal ones are folded first. There are four tables, one for each 32 bits put first,
+    so pairs that differ in up to three bits agree on one at least, and a pair counts in the first table on which it does.
+    """
+    if not 0 <= radius <= 3:
+        raise ValueError("four tables find pairs of at most three different bits")
+
+    def tables(df: DataFrame) -> DataFrame:
+        one = df.where("fingerprint IS NOT NULL").select("fingerprint").distinct()
+        first = F.array(*(F.conv(F.substring("fingerprint", 8 * t + 1, 8), 16, 10).cast("long") + F.lit(t << 32) for t in range(4)))
+        return one.select(F.unhex("fingerprint").alias("bits"), F.explode(first).alias("key"))
+
+    q, s = stored(tables(queries), "near-queries"), stored(tables(every), "near-every")
+    dealt = max(1, -(-(q.count() + s.count()) // DEALT_ROWS))
+    cuts = [F.ceil(F.col("n") / SLICE).cast("int") for _ in range(2)]
+    per = [df.groupBy("key").agg(F.count("*").alias("n")).select("key", cut.alias(name)) for df, cut, name in zip((q, s), cuts, ("q_cuts", "s_cuts"))]
+    # Keys of one slice on both sides, nearly all, need no row here.
+    hot = per[0].join(per[1], "key").where("q_cuts > 1 OR s_cuts > 1")
+
+    def spread(df: DataFrame, own: str, other: str) -> DataFrame:
+        """Rows once in each slice of the other side."""
+        df = df.join(hot, "key", "left").withColumns({c: F.coalesce(F.col(c), F.lit(1)) for c in (own, other)})
+        mine, theirs = F.pmod(F.xxhash64("bits"), F.col(own)).cast("int"), F.explode(F.sequence(F.lit(0), F.col(other) - 1))
+        df = df.select("bits", "key", mine.alias(own), theirs.alias(other))
+        return df.select("bits", "key", F.hash("q_cuts", "s_cuts").alias("slice"), F.pmod(F.xxhash64("key", "q_cuts", "s_cuts"), F.lit(dealt)).alias("deal"))
+
+    def count(asked: pa.Table, held: pa.Table) -> pa.Table:
+        out = {"bits": pa.array([], pa.binary()), "n": pa.array([], pa.int64())}
+        if asked.num_rows and held.num_rows:
+            (q_at, q_bits), (s_at, s_bits) = _sorted(asked), _sorted(held)
+            # Queries meet the run of their own key and slice.
+            a, b = (np.searchsorted(s_at, q_at, side) for side in ("left", "right"))
+            total, n = np.zeros(len(q_at), dtype=np.int64), b - a
+            upto = np.cumsum(n)
+            begin = 0
+            while begin < len(n):
+                end = max(begin + 1, int(np.searchsorted(upto, upto[begin] - n[begin] + STEP_PAIRS, "right")))
+                one = np.repeat(np.arange(begin, end), n[begin:end])
+                met = np.arange(len(one)) - np.repeat(np.cumsum(n[begin:end]) - n[begin:end], n[begin:end]) + a[one]
+                differ = q_bits[one] ^ s_bits[met]
+                bits = np.bitwise_count(differ).sum(axis=1)
+                here = (differ == 0).argmax(axis=1) == q_at["key"][one] >> 32
+                near = one[(bits > 0) & (bits <= radius) & here]
+                total += np.bincount(near, minlength=len(n))
+                begin = end
+            some = np.flatnonzero(total)
+            out = {"bits": pa.array([x.tobytes() for x in q_bits[some]], pa.binary()), "n": pa.array(total[some])}
+            hand_back()
+        return pa.table(out)
+
+    left, right = spread(q, "q_cuts", "s_cuts"), spread(s, "s_cuts", "q_cuts").withColumnRenamed("deal", "to")
+    found = left.groupBy("deal").cogroup(right.groupBy("to")).applyInArrow(count, "bits binary, n long")
+    found = found.groupBy(F.lower(F.hex("bits")).alias("fingerprint")).agg(F.sum("n").alias("n_near"))
+    asked = queries.where("fingerprint IS NOT NULL").select("fingerprint").distinct()
+    return asked.join(found, "fingerprint", "left").select("fingerprint", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"))
+
+
+def _sorted(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Key and slice of the rows, ascending, and their bits as four 32-bit numbers."""
+    at = np.empty(rows.num_rows, dtype=[("key", np.int64), ("slice", np.int64)])
+    at["key"], at["slice"] = rows["key"].to_numpy(), rows["slice"].to_numpy()
+    order = np.argsort(at, order=("key", "slice"), kind="stable")
+    bits = np.frombuffer(b"".join(rows["bits"].to_pylist()), dtype=np.uint32).reshape(-1, 4)
+    return at[order], bits[order]
+
+
 def neighbours(queries: DataFrame, stored: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
     """Different fingerprints within the radius: ``query``, ``fingerprint``, ``distance``.
 

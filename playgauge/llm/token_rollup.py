@@ -33,24 +33,39 @@ def tokens(version: str, text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(VERSIONS[version])).cast("long"), F.lit(0).cast("long"))
 
 
+def ledger(docs: DataFrame, *versions: str) -> DataFrame:
+    """One narrow row per document: doc_id, source, lang and ``counts``, its tokens under each version.
+
+    Kept by whoever commits changes, it takes the place of the texts in ``counted`` and ``revised``: a document that
+    leaves, or is counted anew, isn't read again.
+    """
+    counts = F.struct(*(tokens(v).alias(v) for v in versions)).alias("counts")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), counts)
+
+
+def _tokens(rows: DataFrame, version: str) -> Column:
+    """From a ledger's row, or from the text."""
+    return F.col("counts").getField(version) if "counts" in rows.columns else tokens(version)
+
+
 def counted(docs: DataFrame, version: str, sign: int = 1, *also: str) -> DataFrame:
-    """One change per document, in or out; ``also`` names columns to keep beside it."""
+    """One change per document (or row of a ledger), in or out; ``also`` names columns to keep beside it."""
     return docs.select(
         *also,
         F.col("source").cast("string").alias("source"),
         F.col("lang").cast("string").alias("lang"),
         F.lit(version).alias("version"),
         F.lit(sign).cast("long").alias("docs"),
-        (tokens(version) * sign).alias("tokens"),
+        (_tokens(docs, version) * sign).alias("tokens"),
     )
 
 
 def revised(docs: DataFrame, old: str, new: str) -> DataFrame:
-    """Two changes per document, whose count under the old version gives way to the new one's."""
+    """Two changes per document (or row of a ledger), whose count under the old version gives way to the new one's."""
     both = F.explode(
         F.array(
-            F.struct(F.lit(old).alias("version"), F.lit(-1).cast("long").alias("docs"), (-tokens(old)).alias("tokens")),
-            F.struct(F.lit(new).alias("version"), F.lit(1).cast("long").alias("docs"), tokens(new).alias("tokens")),
+            F.struct(F.lit(old).alias("version"), F.lit(-1).cast("long").alias("docs"), (-_tokens(docs, old)).alias("tokens")),
+            F.struct(F.lit(new).alias("version"), F.lit(1).cast("long").alias("docs"), _tokens(docs, new).alias("tokens")),
         )
     )
     return docs.select("source", "lang", both.alias("c")).select("source", "lang", "c.version", "c.docs", "c.tokens")

@@ -164,7 +164,10 @@ def test_fingerprints_of_edited_texts(spark, folders, case):
         a, b, c = (simhash.fingerprints(pa.array([t], pa.large_string())) for t in (text, edited, following))
         likely = [round(float(simhash.likeness(a, x)[0]), 9) for x in (b, c)]
         want.append((row["doc_id"], len(text), hashlib.sha256(edited.encode()).hexdigest(), a.tobytes().hex(), b.tobytes().hex(), *likely))
-    got = [(*tuple(r)[:5], round(r[5], 9), round(r[6], 9)) for r in queries.op7_simhash(spark, folders[case]).collect()]
+    columns = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    found = queries.op7_simhash(spark, folders[case])
+    assert set(found.columns) == {*columns, "n_near"}
+    got = [(*tuple(r)[:5], round(r[5], 9), round(r[6], 9)) for r in found.select(*columns).collect()]
     assert in_order(got) == in_order(want)
 
 
