@@ -20,6 +20,8 @@ from pyspark.sql import types as T
 
 #: Rows of an Arrow batch handed to Python. Texts may be long, so batches stay short.
 ARROW_ROWS = 1000
+#: Bytes of one, about; a longer row is a batch of its own.
+ARROW_BYTES = 4 << 20
 #: Bytes of text hashed in one vectorized step.
 STEP_BYTES = 1 << 20
 
@@ -126,8 +128,9 @@ def hand_back() -> None:
 
 
 def short_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches short enough for long texts."""
+    """Keep Arrow batches short enough for long texts: by rows, and by bytes where texts are long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 _U = np.uint64

@@ -1,26 +1,29 @@
 """Phrase collocations by relational mining of occurrences, level by level (SETM).
 
-Texts are split into pieces, and pieces into words. ``R_k`` is the relation of occurrences of k-word phrases:
-language, piece, position, phrase. Each level
-
-1. counts the groups of ``R_k`` by language and phrase, exactly, in texts of the whole table;
-2. keeps the occurrences of frequent groups only (a semi-join of ``R_k`` with them);
-3. merge-joins what is left with itself by piece and adjacent position, which gives ``R_(k+1)``: a longer phrase is
-   frequent only if both phrases that it overlaps by all but one word are.
-
-Every relation is written down, sorted by piece and position, and read again. It is kept in chunks of about
-CHUNK_WORDS words of whole documents: a chunk is one row with a number for each position (of a phrase of the chunk's
-own list; -1 for none), and positions of different pieces aren't adjacent. Frequent groups come back to a chunk as
-the numbers of its own list, so the semi-join moves rows in proportion to the chunks' lists, whatever the number of
-frequent phrases; nothing is broadcast. One language or phrase may hold all rows: a chunk adds to a phrase once.
+Texts are split into pieces, and pieces into words. ``R_k`` is the relation of occurrences of frequent k-word phrases:
+language, piece, position, phrase. From ``R_k``, sorted by piece and position and written down, each level
+
+1. merge-joins it with itself by piece and adjacent position: a phrase of k + 1 words is frequent only if both phrases
+   that it overlaps by all but one word are;
+2. counts the groups of the join by language and phrase, over the whole table;
+3. semi-joins the join with the frequent groups, which gives ``R_(k+1)``.
+
+The relation is kept in chunks of about CHUNK_WORDS words of whole documents of one language. A chunk is one row: a
+number for each position (of a phrase of the chunk's own list; -1 for none), with positions of different pieces never
+adjacent. For step 2 chunks send each of their groups once, as a hash of the phrase and a count, dealt to parts by the
+hash; a part adds up and tells each chunk by one bit for each of its groups which are frequent. Phrases of equal hash
+share a sum, so this keeps too many at most; what it keeps is counted again by the phrase itself, and no result rests
+on a hash. Parts grow in number with the words, nothing is broadcast, and a phrase or language that holds all rows
+adds one entry a chunk.
 
 Nulls and unusual input: a null text is empty; a null language is ``und``; ids aren't read, so null or repeated
-ones are documents of their own. A long text is a chunk of its own. An empty table, or one without candidates,
-gives no rows. Columns beside lang and text are ignored.
+ones are documents of their own. A long text is cut into words whole and stays in one chunk. An empty table, or one
+without candidates, gives no rows. Columns beside lang and text are ignored.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -32,14 +35,16 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from playgauge.llm.common import short_batches, stored, text_bytes
+from playgauge.llm.common import hand_back, mixed, short_batches, stored, text_bytes, thrifty, word_hashes
 
 #: Words after which a chunk is closed, and bytes of text that are cut into words in one step.
-CHUNK_WORDS = 1 << 18
-STEP = 4 << 20
+CHUNK_WORDS = 1 << 16
+STEP = 1 << 20
+#: Words of the table to one part of the count.
+PART_WORDS = 1 << 20
 
-#: ``at``: a number for each position, little-endian 32-bit; ``langs``, ``phrases`` and ``counts`` by number.
-RELATION = "chunk long, at binary, langs array<string>, phrases array<string>, counts array<long>"
+#: ``at``: a number for each position, little-endian 32-bit; ``phrases`` and ``counts`` (occurrences) by number.
+RELATION = "chunk long, lang string, at binary, phrases array<string>, counts array<long>"
 
 # Signs between pieces and, with them, between words.
 BETWEEN_PIECES = b".,;:!?\n\x0b\x0c\r"
@@ -86,104 +91,171 @@ def _words(raw: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray,
     return words, owner, follows
 
 
-def _relation(chunk: int, at: np.ndarray, langs, phrases, counts: np.ndarray) -> pa.RecordBatch:
+def _relation(chunk: int, lang: str, at: np.ndarray, phrases: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
+    whole = pa.array([0, len(phrases)], pa.int32())
     columns = [
         pa.array([chunk], pa.int64()),
+        pa.array([lang], pa.string()),
         pa.array([at.astype("<i4").tobytes()], pa.binary()),
-        pa.array([langs], pa.list_(pa.string())),
-        pa.array([phrases], pa.list_(pa.string())),
-        pa.array([counts], pa.list_(pa.int64())),
+        pa.ListArray.from_arrays(whole, phrases.cast(pa.string())),
+        pa.ListArray.from_arrays(whole, pa.array(counts, pa.int64())),
     ]
-    return pa.RecordBatch.from_arrays(columns, ["chunk", "at", "langs", "phrases", "counts"])
+    return pa.RecordBatch.from_arrays(columns, ["chunk", "lang", "at", "phrases", "counts"])
 
 
-def _first_chunk(chunk: int, held: list) -> pa.RecordBatch:
-    """R_1 of a chunk, from (words, language of each word, whether it follows) of its parts."""
-    words = pa.concat_arrays([w for w, *_ in held]).dictionary_encode()
-    langs = pa.concat_arrays([lang for _, lang, _ in held]).dictionary_encode()
-    follows = np.concatenate([f for *_, f in held])
-    keys = langs.indices.to_numpy().astype(np.int64) * len(words.dictionary) + words.indices.to_numpy()
-    found, numbers, counts = np.unique(keys, return_inverse=True, return_counts=True)
+def _first_chunk(chunk: int, lang: str, held: list[tuple[pa.Array, np.ndarray]]) -> pa.RecordBatch:
+    """All words of a chunk, from its parts' words and whether each follows the one before in its piece."""
+    words = pa.concat_arrays([w for w, _ in held]).dictionary_encode()
+    follows = np.concatenate([f for _, f in held])
+    numbers = words.indices.to_numpy()
     # Between pieces a position stays empty.
     places = np.arange(len(numbers)) + np.cumsum(~follows)
     at = np.full(int(places[-1]) + 1, -1, dtype=np.int32)
     at[places] = numbers
-    of = pa.array(found // len(words.dictionary)), pa.array(found % len(words.dictionary))
-    return _relation(chunk, at, langs.dictionary.take(of[0]).to_pylist(), words.dictionary.take(of[1]).to_pylist(), counts)
+    return _relation(chunk, lang, at, words.dictionary, np.bincount(numbers))
 
 
 def word_occurrences(docs: DataFrame) -> DataFrame:
-    """R_1, the relation of all words, in chunks."""
+    """The relation of all words, in chunks."""
     short_batches(docs.sparkSession)
 
+    @thrifty
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, held, size = TaskContext.get().partitionId() << 32, [], 0
+        chunk, held, size = TaskContext.get().partitionId() << 32, defaultdict(list), 0
         for batch in batches:
             raw, offsets = text_bytes(batch.column("text"))
-            langs = batch.column("lang")
+            names = batch.column("lang").dictionary_encode()
+            lang = names.indices.to_numpy()
             a = 0
-            while a < len(langs):
+            while a < len(lang):
                 b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + STEP, "right")) - 1)
                 words, owner, follows = _words(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                if len(words):
-                    held.append((words, langs.take(pa.array(a + owner)), follows))
-                    size += len(words)
+                of = lang[a + owner]
+                for code in np.unique(of).tolist():
+                    own = np.flatnonzero(of == code)
+                    held[names.dictionary[code].as_py()].append((words.take(pa.array(own)), follows[own]))
+                size += len(words)
                 if size >= CHUNK_WORDS:
-                    yield _first_chunk(chunk, held)
-                    chunk, held, size = chunk + 1, [], 0
+                    for name, parts in held.items():
+                        yield _first_chunk(chunk, name, parts)
+                        chunk += 1
+                    held, size = defaultdict(list), 0
                 a = b
-        if held:
-            yield _first_chunk(chunk, held)
+        for name, parts in held.items():
+            yield _first_chunk(chunk, name, parts)
+            chunk += 1
 
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(cut, RELATION)
 
 
-def groups(relation: DataFrame) -> DataFrame:
-    """Rows of the chunks' lists: chunk, number, lang, phrase, n (occurrences in the chunk)."""
-    lists = F.arrays_zip("langs", "phrases", "counts")
-    each = relation.select("chunk", F.posexplode(lists).alias("number", "group"))
-    return each.select("chunk", "number", F.col("group.langs").alias("lang"), F.col("group.phrases").alias("phrase"), F.col("group.counts").alias("n"))
-
-
-def _extend(relation: pa.Table, frequent: pa.Table) -> pa.Table:
-    """R_(k+1) of one chunk: adjacent occurrences whose groups are both frequent, joined."""
-    empty = pa.Table.from_batches([_relation(0, np.zeros(0), [], [], np.zeros(0, np.int64))]).slice(0, 0)
-    if not relation.num_rows or not frequent.num_rows:
-        return empty
-    at = np.frombuffer(relation["at"][0].as_buffer(), dtype="<i4")
-    langs, phrases = (relation[c].combine_chunks().flatten() for c in ("langs", "phrases"))
-    kept = np.zeros(len(phrases) + 1, dtype=bool)  # the last is that of no phrase
-    kept[frequent["number"].to_numpy()] = True
-    kept[-1] = False
-    some = kept[at]
-    place = np.flatnonzero(some[:-1] & some[1:])
-    if not len(place):
-        return empty
-    keys = at[place].astype(np.int64) * len(phrases) + at[place + 1]
-    found, numbers, counts = np.unique(keys, return_inverse=True, return_counts=True)
-    left, right = pa.array(found // len(phrases)), pa.array(found % len(phrases))
-    longer = np.full(len(at), -1, dtype=np.int32)
-    longer[place] = numbers
-    last = pc.replace_substring_regex(phrases.take(right), r"^.*\x20", "")
-    both = pc.binary_join_element_wise(phrases.take(left), last, " ")
-    return pa.Table.from_batches([_relation(relation["chunk"][0].as_py(), longer, langs.take(left).to_pylist(), both.to_pylist(), counts)])
+_NOWHERE = np.zeros(256, dtype=bool)
+
+
+class Joined:
+    """Groups of one chunk: its own, or (``adjacent``) those of its merge-join with itself by adjacent position."""
+
+    def __init__(self, row, parts: int, adjacent: bool):
+        self.row, self.adjacent = row, adjacent
+        self.at = np.frombuffer(row["at"][0].as_buffer(), dtype="<i4")
+        self.phrases = row["phrases"][0].values
+        hashes = word_hashes(self.phrases, _NOWHERE)[0]
+        if adjacent:
+            there = self.at >= 0
+            self.place = np.flatnonzero(there[:-1] & there[1:])
+            pairs = self.at[self.place].astype(np.int64) * len(self.phrases) + self.at[self.place + 1]
+            found, self.numbers, self.counts = np.unique(pairs, return_inverse=True, return_counts=True)
+            self.left, self.right = np.divmod(found, max(1, len(self.phrases)))
+            hashes = mixed(hashes[self.left] * np.uint64(0x9E3779B97F4A7C15) + hashes[self.right])
+        else:
+            self.place = np.flatnonzero(self.at >= 0)
+            self.numbers = self.at[self.place]
+            self.counts = row["counts"][0].values.to_numpy()
+        hashes = mixed(hashes ^ word_hashes(pa.array([row["lang"][0].as_py() + "."]), _NOWHERE)[0])
+        self.keys = hashes.astype(np.uint32)
+        part = ((hashes >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+        #: Groups in order of their parts, and where each part that has any begins.
+        self.order = np.argsort(part, kind="stable")
+        self.parts, self.begins = np.unique(part[self.order], return_index=True)
+        self.ends = np.append(self.begins[1:], len(part))
+
+    def frequent(self, told: dict[int, bytes]) -> pa.RecordBatch | None:
+        """The chunk of R_(k+1): occurrences of groups whose bit is set in what their part has told."""
+        kept = np.zeros(len(self.keys), dtype=bool)
+        for part, a, b in zip(self.parts.tolist(), self.begins.tolist(), self.ends.tolist()):
+            if part in told:
+                bits = np.unpackbits(np.frombuffer(told[part], dtype=np.uint8), count=b - a)
+                kept[self.order[a:b]] = bits.astype(bool)
+        if not kept.any():
+            return None
+        renumbered = np.where(kept, np.cumsum(kept) - 1, -1)
+        at = np.full(len(self.at), -1, dtype=np.int32)
+        at[self.place] = renumbered[self.numbers]
+        if self.adjacent:
+            last = pc.replace_substring_regex(self.phrases.take(pa.array(self.right[kept])), r"^.*\x20", "")
+            phrases = pc.binary_join_element_wise(self.phrases.take(pa.array(self.left[kept])), last, " ")
+        else:
+            phrases = self.phrases.filter(pa.array(kept))
+        return _relation(self.row["chunk"][0].as_py(), self.row["lang"][0].as_py(), at, phrases, self.counts[kept])
+
+
+def _frequent(relation: DataFrame, parts: int, least: int, adjacent: bool) -> DataFrame:
+    """R_1 from all words or, ``adjacent``, R_(k+1) from R_k."""
+
+    @thrifty
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                own = Joined(batch.slice(i, 1), parts, adjacent)
+                counts = own.counts[own.order].astype("<u4")
+                cuts = list(zip(own.begins.tolist(), own.ends.tolist()))
+                keys = own.keys[own.order].astype("<u4")
+                columns = [
+                    pa.array(own.parts, pa.int64()),
+                    pa.array([batch.column("chunk")[i].as_py()] * len(cuts), pa.int64()),
+                    pa.array([keys[a:b].tobytes() for a, b in cuts], pa.binary()),
+                    pa.array([counts[a:b].tobytes() for a, b in cuts], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["part", "of", "keys", "counts"])
+
+    def add(part: pa.Table) -> pa.Table:
+        blobs = [np.frombuffer(x.as_buffer(), dtype="<u4") for x in part["keys"]]
+        keys, numbers = np.unique(np.concatenate(blobs), return_inverse=True)
+        counts = np.concatenate([np.frombuffer(x.as_buffer(), dtype="<u4") for x in part["counts"]])
+        enough = (np.bincount(numbers, counts, len(keys)) >= least)[numbers]
+        ends = np.cumsum([len(x) for x in blobs])
+        bits = [np.packbits(enough[b - len(x) : b]).tobytes() for x, b in zip(blobs, ends.tolist())]
+        told = pa.table({"part": part["part"], "of": part["of"], "bits": pa.array(bits, pa.binary())})
+        hand_back()
+        return told.filter(pa.array([any(x) for x in bits]))
+
+    def keep(row: pa.Table, told: pa.Table) -> pa.Table:
+        out = None
+        if row.num_rows and told.num_rows:
+            out = Joined(row, parts, adjacent).frequent(dict(zip(told["part"].to_pylist(), told["bits"].to_pylist())))
+        if out is None:
+            out = _relation(0, "", np.zeros(0), pa.array([], pa.string()), np.zeros(0, np.int64)).slice(0, 0)
+        hand_back()
+        return pa.Table.from_batches([out])
+
+    sent = relation.mapInArrow(send, "part long, of long, keys binary, counts binary")
+    told = sent.groupBy("part").applyInArrow(add, "part long, of long, bits binary")
+    return relation.groupBy("chunk").cogroup(told.groupBy("of")).applyInArrow(keep, RELATION)
 
 
 def levels(docs: DataFrame, how: Mining = Mining()) -> tuple[DataFrame, list[DataFrame]]:
     """Words of each language (lang, n) and, from one word to ``how.words``, its frequent phrases (lang, phrase, f)."""
-    relation, out, total = stored(word_occurrences(docs), "occurrences-1"), [], None
+    relation, out = stored(word_occurrences(docs), "words"), []
+    size = F.aggregate("counts", F.lit(0).cast("long"), lambda a, n: a + n)
+    total = stored(relation.groupBy("lang").agg(F.sum(size).alias("n")), "totals")
+    words = total.agg(F.sum("n")).first()[0] or 0
+    parts = max(1, -(-words // PART_WORDS))
     for k in range(1, how.words + 1):
-        listed = groups(relation)
-        if total is None:
-            total = listed.groupBy("lang").agg(F.sum("n").alias("n"))
-        frequent = stored(listed.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= how.least), f"phrases-{k}")
-        out.append(frequent)
-        if k < how.words:
-            # Frequent groups go back to the chunks that have them, as numbers of their lists.
-            known = listed.join(frequent, ["lang", "phrase"], "left_semi").select(F.col("chunk").alias("of"), "number")
-            joined = relation.groupBy("chunk").cogroup(known.groupBy("of")).applyInArrow(_extend, RELATION)
-            relation = stored(joined, f"occurrences-{k + 1}")
+        relation = stored(_frequent(relation, parts, how.least, k > 1), f"occurrences-{k}")
+        # Counted by the phrase itself, not by its hash.
+        listed = relation.select("lang", F.inline(F.arrays_zip("phrases", "counts")))
+        exact = listed.groupBy("lang", F.col("phrases").alias("phrase")).agg(F.sum("counts").alias("f"))
+        out.append(stored(exact.where(F.col("f") >= how.least), f"phrases-{k}"))
     return total, out
 
 
