@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from playgauge.llm.common import short_batches, worker_state
+from playgauge.llm.common import short_batches, thrifty, worker_state
 
 #: Words whose ids a worker keeps.
 KEPT_WORDS = 200_000
@@ -267,6 +267,7 @@ def coded(docs: DataFrame, vocabulary: Vocabulary = Vocabulary(), decoded: bool
     ids' text (``decoded``), in the same pass."""
     short_batches(docs.sparkSession)
 
+    @thrifty
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(vocabulary)
         for batch in batches:
@@ -284,6 +285,7 @@ def decoded(coded_docs: DataFrame, vocabulary: Vocabulary = Vocabulary()) -> Dat
     """One row per document: doc_id and the text of its ``ids``; null ids are an empty text."""
     short_batches(coded_docs.sparkSession)
 
+    @thrifty
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(vocabulary)
         for batch in batches:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from playgauge.llm.common import short_batches, text_bytes
+from playgauge.llm.common import short_batches, text_bytes, thrifty
 
 _U = np.uint64
 _HIGH, _LOW = _U(0x8080808080808080), _U(0x7F7F7F7F7F7F7F7F)
@@ -132,6 +132,7 @@ def infilled(docs: DataFrame, how: Infill = Infill()) -> DataFrame:
     sentinels = [s.encode() for s in (how.prefix, how.suffix, how.middle)]
     p, s, m = sentinels
 
+    @thrifty
     def transform(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = text_bytes(batch.column("text"))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from playgauge.llm.common import short_batches, stored, worker_state
+from playgauge.llm.common import short_batches, stored, thrifty, worker_state
 from playgauge.llm.tokens import Words
 
 
@@ -58,6 +58,7 @@ def pieces(docs: DataFrame, tokens: int = 1024, vocabulary: Vocabulary = Vocabul
     """One row per piece: its place in the document's ids, their CRC-32, and a running number in its task."""
     short_batches(docs.sparkSession)
 
+    @thrifty
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, spot = worker_state(), 0
         if vocabulary not in kept:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import itertools
+import json
 import unicodedata
 
 import numpy as np
@@ -18,7 +19,9 @@ import tiktoken
 from tokenizers import Tokenizer
 
 #: Words whose ids a worker keeps.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 150_000
+#: Code points of texts encoded in one step; a longer text is a step of its own.
+STEP = 2_000_000
 
 LETTER, NUMBER, OTHER, SPACE, UNKNOWN = range(5)
 
@@ -39,11 +42,12 @@ class Words:
 
     def __init__(self, path: str, ranks_path: str, pattern: str):
         """``path``: the tokenizer's file. ``ranks_path``: the same vocabulary as base64 tokens and ranks."""
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path, self._tokenizer = path, None
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.ranks = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        with open(path, encoding="utf-8") as file:
+            self.special = [t["content"] for t in json.load(file)["added_tokens"]]
         self.classes = _classes()
         self._forget()
 
@@ -51,8 +55,31 @@ class Words:
         self.known: dict[str, int] = {}
         self.counts, self.flat = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint32)
 
+    @property
+    def tokenizer(self) -> Tokenizer:
+        """The library's tokenizer, made when a text first needs it."""
+        if self._tokenizer is None:
+            self._tokenizer = Tokenizer.from_file(self.path)
+        return self._tokenizer
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts on end, and where each text's ids begin."""
+        parts, a = [], 0
+        while a < len(texts):
+            b, size = a + 1, len(texts[a])
+            while b < len(texts) and size + len(texts[b]) <= STEP:
+                size += len(texts[b])
+                b += 1
+            parts.append(self._encode(texts[a:b]))
+            a = b
+        if len(parts) == 1:
+            return parts[0]
+        shift = np.cumsum([0, *(begins[-1] for _, begins in parts)])
+        flat = np.concatenate([ids for ids, _ in parts]) if parts else np.zeros(0, dtype=np.uint32)
+        begins = [begins[:-1] + s for (_, begins), s in zip(parts, shift)]
+        return flat, np.concatenate([*begins, shift[-1:]]).astype(np.int64)
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         plain = []
         for i, text in enumerate(texts):
             if text and not any(name in text for name in self.special):
@@ -73,7 +100,7 @@ class Words:
         lengths[plain] = counts
         rest = sorted(set(range(len(texts))) - set(plain))
         encoded = {}
-        for i, found in zip(rest, self.tokenizer.encode_batch([texts[i] for i in rest], add_special_tokens=False)):
+        for i, found in zip(rest, self.tokenizer.encode_batch([texts[i] for i in rest], add_special_tokens=False) if rest else []):
             encoded[i] = np.array(found.ids, dtype=np.uint32)
             lengths[i] = len(encoded[i])
         begins = np.concatenate([[0], np.cumsum(lengths)])

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from playgauge.llm.common import NOT_ALNUM, extended, mixed, short_batches, word_hashes
+from playgauge.llm.common import NOT_ALNUM, extended, hand_back, mixed, short_batches, thrifty, word_hashes
 
 #: Score of every text when there is nothing to learn from.
 EMPTY_PRIOR = 0.02
@@ -138,6 +138,7 @@ def train(docs: DataFrame, labels: DataFrame, params: Ftrl = Ftrl()) -> Toxicity
     def learn(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["place", "text"], na_position="first")
         at, w = _ftrl(part["text"].tolist(), part["label"].to_numpy(), offset, params)
+        hand_back()
         return pd.DataFrame({"at": at, "w": w})
 
     fitted = (
@@ -153,6 +154,7 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3) -> Data
     short_batches(docs.sparkSession)
     docs = docs.drop("score", "predicted")
 
+    @thrifty
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dense = np.zeros(1 << model.bits)
         dense[model.at] = model.weight
