@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from playgauge.llm import mixing, ngram_join, packing, pii, toxicity
-from playgauge.llm.common import stored
+from playgauge.llm.common import scratch, stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -61,8 +61,13 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn over the documents, each stage's rows written and read again."""
+    """All stages in turn over the documents, each stage's rows written and read again.
+
+    What a stage wrote down for itself goes when its rows are written; what the last one wrote stays for its reader.
+    """
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch() as made:
+            docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            made.remove(docs)
     return STAGES[-1][1](spark, docs, sf_dir)
