@@ -13,8 +13,8 @@ number for each position (of a phrase of the chunk's own list; -1 for none), wit
 adjacent. For step 2 chunks send each of their groups once, as a hash of the phrase and a count, dealt to parts by the
 hash; a part adds up and tells each chunk by one bit for each of its groups which are frequent. Phrases of equal hash
 share a sum, so this keeps too many at most; what it keeps is counted again by the phrase itself, and no result rests
-on a hash. Parts grow in number with the words, nothing is broadcast, and a phrase or language that holds all rows
-adds one entry a chunk.
+on a hash. Nothing is broadcast, and a phrase or language that holds all rows adds one entry a chunk. A chunk and a part
+exchange one row, and never more rows than groups; parts are LEAST_PARTS, or more where these would get too large.
 
 Nulls and unusual input: a null text is empty; a null language is ``und``; ids aren't read, so null or repeated
 ones are documents of their own. A long text is cut into words whole and stays in one chunk. An empty table, or one
@@ -23,7 +23,7 @@ without candidates, gives no rows. Columns beside lang and text are ignored.
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -40,8 +40,11 @@ from playgauge.llm.common import hand_back, mixed, short_batches, stored, text_b
 #: Words after which a chunk is closed, and bytes of text that are cut into words in one step.
 CHUNK_WORDS = 1 << 16
 STEP = 1 << 20
-#: Words of the table to one part of the count.
-PART_WORDS = 1 << 20
+#: Chunks' words of all languages that a task holds; beyond, the largest is closed early.
+HELD_WORDS = 1 << 18
+#: Parts of the count at least, and words of the table to one part at most.
+LEAST_PARTS = 64
+PART_WORDS = 1 << 24
 
 #: ``at``: a number for each position, little-endian 32-bit; ``phrases`` and ``counts`` (occurrences) by number.
 RELATION = "chunk long, lang string, at binary, phrases array<string>, counts array<long>"
@@ -121,7 +124,7 @@ def word_occurrences(docs: DataFrame) -> DataFrame:
 
     @thrifty
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, held, size = TaskContext.get().partitionId() << 32, defaultdict(list), 0
+        chunk, held, sizes = TaskContext.get().partitionId() << 32, defaultdict(list), Counter()
         for batch in batches:
             raw, offsets = text_bytes(batch.column("text"))
             names = batch.column("lang").dictionary_encode()
@@ -132,14 +135,15 @@ def word_occurrences(docs: DataFrame) -> DataFrame:
                 words, owner, follows = _words(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 of = lang[a + owner]
                 for code in np.unique(of).tolist():
-                    own = np.flatnonzero(of == code)
-                    held[names.dictionary[code].as_py()].append((words.take(pa.array(own)), follows[own]))
-                size += len(words)
-                if size >= CHUNK_WORDS:
-                    for name, parts in held.items():
-                        yield _first_chunk(chunk, name, parts)
-                        chunk += 1
-                    held, size = defaultdict(list), 0
+                    own, name = np.flatnonzero(of == code), names.dictionary[code].as_py()
+                    held[name].append((words.take(pa.array(own)), follows[own]))
+                    sizes[name] += len(own)
+                full = [name for name, n in sizes.items() if n >= CHUNK_WORDS]
+                while full or sizes.total() > HELD_WORDS:
+                    name = full.pop() if full else sizes.most_common(1)[0][0]
+                    yield _first_chunk(chunk, name, held.pop(name))
+                    chunk += 1
+                    del sizes[name]
                 a = b
         for name, parts in held.items():
             yield _first_chunk(chunk, name, parts)
@@ -249,7 +253,7 @@ def levels(docs: DataFrame, how: Mining = Mining()) -> tuple[DataFrame, list[Dat
     size = F.aggregate("counts", F.lit(0).cast("long"), lambda a, n: a + n)
     total = stored(relation.groupBy("lang").agg(F.sum(size).alias("n")), "totals")
     words = total.agg(F.sum("n")).first()[0] or 0
-    parts = max(1, -(-words // PART_WORDS))
+    parts = max(LEAST_PARTS, -(-words // PART_WORDS))
     for k in range(1, how.words + 1):
         relation = stored(_frequent(relation, parts, how.least, k > 1), f"occurrences-{k}")
         # Counted by the phrase itself, not by its hash.

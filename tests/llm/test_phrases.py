@@ -52,6 +52,8 @@ def texts(seed, n, vocabulary="a B c d é 漢 f-g".split(), marks=(" ", " ", "
 def test_against_all_counts(spark, monkeypatch, how, chunk):
     monkeypatch.setattr(phrases, "CHUNK_WORDS", chunk)
     monkeypatch.setattr(phrases, "STEP", 200)
+    monkeypatch.setattr(phrases, "HELD_WORDS", 2 * chunk)
+    monkeypatch.setattr(phrases, "LEAST_PARTS", 3)
     rows = texts(chunk, 120) + ODD
     got = phrases.collocations(rows_of(spark, rows).repartition(3), how)
     assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
