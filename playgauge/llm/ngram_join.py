@@ -89,19 +89,29 @@ def _bucket_levels(df: DataFrame, column: str, hashes: Callable[[pa.Array], Iter
                 data = zlib.decompress(data)
                 sums[part] = sums.get(part, 0) + np.frombuffer(data, dtype=kinds[len(data)]).astype(np.int64)
         if sums:
-            levels = [np.minimum(255, np.ceil(8 * np.log2(x + 1))).astype(np.uint8).tobytes() for x in sums.values()]
+            levels = [_packed(np.minimum(255, np.ceil(8 * np.log2(x + 1))).astype(np.uint8)) for x in sums.values()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(sums), pa.int32()), pa.array(levels, pa.binary())], ["part", "levels"]
             )
 
     parts = df.select(column).mapInArrow(count, "part int, counts binary")
     total = np.zeros(size, dtype=np.uint8)
-    # One byte per bucket, whatever the input.
-    for row in parts.repartition(_PARTS, "part").mapInArrow(add, "part int, levels binary").collect():
-        total[row["part"] * step : (row["part"] + 1) * step] = np.frombuffer(row["levels"], dtype=np.uint8)
+    # One byte per bucket at most, whatever the input. Arrow brings it as it is, where collect() copies it several times.
+    found = parts.repartition(_PARTS, "part").mapInArrow(add, "part int, levels binary").toArrow()
+    for part, levels in zip(found["part"].to_pylist(), found["levels"].to_pylist()):
+        total[part * step : (part + 1) * step] = _unpacked(levels)
     return total
 
 
+def _packed(levels: np.ndarray) -> bytes:
+    """Bytes that the driver gets or gives to all executors; much of such a table is alike."""
+    return zlib.compress(levels.tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), dtype=np.uint8)
+
+
 def _shingle_order(docs: DataFrame, n: int) -> np.ndarray:
     """Rank of every shingle bucket by the number of texts that have it."""
     return _bucket_levels(docs, "text", lambda texts: _sets(texts, n))
@@ -126,7 +136,7 @@ def _beginnings(docs: DataFrame, order, n: int, percent: int) -> DataFrame:
 
     @thrifty
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = order.value
+        ranks = _unpacked(order.value)
         for batch in batches:
             sets = [grams for grams in _sets(batch.column("text"), n) if len(grams)]
             yield pa.RecordBatch.from_arrays(
@@ -184,7 +194,7 @@ def _joined(texts: DataFrame, order, n: int, percent: int) -> DataFrame:
 
     @thrifty
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = order.value
+        ranks = _unpacked(order.value)
         key, held = None, []
         for batch in batches:
             keys = list(zip(*(batch.column(c).to_pylist() for c in ("group", "first", "second"))))
@@ -235,7 +245,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
         F.col("text").cast("string").alias("text"),
         F.xxhash64("text").alias("text_key"),
     )
-    order = spark.sparkContext.broadcast(_shingle_order(docs, n))  # 2**SKETCH_BITS numbers
+    order = spark.sparkContext.broadcast(_packed(_shingle_order(docs, n)))  # 2**SKETCH_BITS numbers
     described = stored(_classes(docs, n), "classes")
     # One row, and one text, stands for each class.
     nodes = described.where("node IS NOT NULL").groupBy("node").agg(
@@ -259,12 +269,13 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     dealt = members.alias("m").join(pairs.alias("p"), on).select("p.*", "m.node", "m.one")
     dealt = stored(dealt, "dealt")
     # Texts surely of no member stay where they are: their keys fall in buckets without any.
-    wanted = spark.sparkContext.broadcast(_bucket_levels(dealt.select(F.col("one.text_key").alias("key")), "key", _scrambled) > 0)
+    wanted = spark.sparkContext.broadcast(_packed(_bucket_levels(dealt.select(F.col("one.text_key").alias("key")), "key", _scrambled)))
 
     @F.pandas_udf("boolean")
     def may_be_member(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        levels = _unpacked(wanted.value)
         for keys in batches:
-            yield pd.Series(wanted.value[_bucket(mixed(keys.to_numpy().view(np.uint64)))])
+            yield pd.Series(levels[_bucket(mixed(keys.to_numpy().view(np.uint64)))] > 0)
 
     docs = docs.where(may_be_member("text_key"))
     same = (F.col("d.text_key") == F.col("x.one.text_key")) & F.col("d.doc_id").eqNullSafe(F.col("x.one.doc_id"))
