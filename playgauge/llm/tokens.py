@@ -2,7 +2,7 @@
 
 The library spends most of its time on words it has met before. Here a batch is cut into its words
 first, by the vocabulary's own pre-tokenization rule on arrays of code points; each different word is
-encoded once, from the same vocabulary's ranks, and kept. Texts with code points outside the plain ranges
+encoded once, from the same vocabulary's ranks, and kept while it is among those that many steps have. Texts with code points outside the plain ranges
 below, or with a special token's name in them, go to the library as they are.
 """
 
@@ -15,11 +15,12 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from tokenizers import Tokenizer
 
 #: Words whose ids a worker keeps.
-KEPT_WORDS = 150_000
+KEPT_WORDS = 250_000
 #: Code points of texts encoded in one step; a longer text is a step of its own.
 STEP = 2_000_000
 
@@ -49,11 +50,10 @@ class Words:
         with open(path, encoding="utf-8") as file:
             self.special = [t["content"] for t in json.load(file)["added_tokens"]]
         self.classes = _classes()
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.counts, self.flat = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint32)
+        # Of each known word: the steps it was in, the number of its ids, and the ids on end.
+        self.known = pa.array([], pa.large_string())
+        self.steps, self.counts = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64)
+        self.flat = np.zeros(0, dtype=np.uint32)
 
     @property
     def tokenizer(self) -> Tokenizer:
@@ -118,25 +118,16 @@ class Words:
         if not len(points):
             return np.zeros(0, dtype=np.uint32), np.zeros(len(sizes), dtype=np.int64)
         starts = word_starts(points, kind, sizes)
-        width = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
-        place = np.concatenate([[0], np.cumsum(width)])
+        place = np.arange(len(points) + 1)
+        if (beyond := points >= 0x80).any():
+            wider = beyond.astype(np.int8) + (points >= 0x800) + (points >= 0x10000)
+            place[1:] += np.cumsum(wider, dtype=np.int64)
         first = np.flatnonzero(starts)
         offsets = np.append(place[first], place[-1])
         words = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(text.encode()))
         coded = words.dictionary_encode()
-        different = coded.dictionary.to_pylist()
-        missing = [w for w in different if w not in self.known]
-        if len(self.known) + len(missing) > KEPT_WORDS:
-            self._forget()
-            missing = different
-        if missing:
-            self.known.update(zip(missing, range(len(self.known), len(self.known) + len(missing))))
-            found = list(map(self.ranks.encode_ordinary, missing))
-            self.counts = np.append(self.counts, np.fromiter(map(len, found), np.int64, len(found)))
-            self.flat = np.append(self.flat, np.fromiter(itertools.chain.from_iterable(found), np.uint32))
+        at = self._places(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)]
         begin = np.cumsum(self.counts) - self.counts
-        at = np.fromiter(map(self.known.__getitem__, different), np.int64, len(different))
-        at = at[coded.indices.to_numpy(zero_copy_only=False)]
         n = self.counts[at]
         total = np.cumsum(n)
         ids = self.flat[np.repeat(begin[at] - (total - n), n) + np.arange(total[-1])]
@@ -144,6 +135,38 @@ class Words:
         upto = np.concatenate([[0], total])[word_end]
         return ids, np.diff(upto, prepend=0)
 
+    def _places(self, words: pa.LargeStringArray) -> np.ndarray:
+        """Places of different words among the known ones, to which new ones are added."""
+        at = pc.fill_null(pc.index_in(self.known, value_set=words), -1).to_numpy()  # the table that is made is of fewer words
+        places = np.full(len(words), -1, dtype=np.int64)
+        places[at[at >= 0]] = np.flatnonzero(at >= 0)
+        new = places < 0
+        if len(self.known) + new.sum() > KEPT_WORDS:
+            places[~new] = self._thin(places[~new])
+        self.steps[places[~new]] += 1
+        if new.any():
+            places[new] = len(self.known) + np.arange(new.sum())
+            missing = words.filter(pa.array(new))
+            found = list(map(self.ranks.encode_ordinary, missing.to_pylist()))
+            self.known = pa.concat_arrays([self.known, missing])
+            self.steps = np.append(self.steps, np.ones(len(found), dtype=np.int32))
+            self.counts = np.append(self.counts, np.fromiter(map(len, found), np.int64, len(found)))
+            self.flat = np.append(self.flat, np.fromiter(itertools.chain.from_iterable(found), np.uint32))
+        return places
+
+    def _thin(self, wanted: np.ndarray) -> np.ndarray:
+        """Forget all words but those wanted and the half that most steps had; the new places of those wanted.
+
+        Steps count half from then on, so words that come no more go in time.
+        """
+        keep = np.zeros(len(self.known), dtype=bool)
+        keep[np.argsort(-self.steps, kind="stable")[: KEPT_WORDS // 2]] = True
+        keep[wanted] = True
+        self.known = self.known.filter(pa.array(keep))
+        self.flat = self.flat[np.repeat(keep, self.counts)]
+        self.steps, self.counts = self.steps[keep] // 2, self.counts[keep]
+        return (np.cumsum(keep) - 1)[wanted]
+
 
 def word_starts(points: np.ndarray, kind: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Where words begin, by the rule of byte-level BPE: a run of letters, numbers or other signs with a
