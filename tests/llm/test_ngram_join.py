@@ -117,3 +117,56 @@ def test_trie_joins_like_brute_force(monkeypatch, burst):
                     a, b = sorted((find(i), find(j)))
                     at[b] = a
         assert trie.join_sets(lists, None, 80) == [find(i) for i in range(len(keys))]
+
+
+def chained(families):
+    """Texts of 100 words, of which each shares 20 with the next, and in every third family an edited copy."""
+    rows = []
+    for f in range(families):
+        words = prose(f, 20).split() + prose(1000 + f, 60).split() + prose(f + 1, 20).split()
+        rows.append((2 * f, " ".join(words), "en", "s"))
+        if f % 3 == 0:
+            rows.append((2 * f + 1, " ".join([*words[:50], "edited", *words[51:]]), "en", "s"))
+    return rows
+
+
+def test_texts_with_enough_of_their_own_go_no_further(spark, monkeypatch):
+    seen = []
+
+    def spied(tokens, percent, groups=ngram_join._groups):
+        seen.extend(r.node for r in tokens.select("node").distinct().collect())
+        return groups(tokens, percent)
+
+    monkeypatch.setattr(ngram_join, "_groups", spied)
+    rows = chained(30)
+    assert result(ngram_join.near_duplicates(rows_of(spark, rows))) == sorted(brute(rows), key=str)
+    # Two of each third family; a passage shared with the next family ties none of the others.
+    assert len(seen) == 20
+
+
+@pytest.mark.parametrize("piece, parts", [(1, 64), (150, 7), (10**6, 1)])
+def test_pieces_and_parts_of_any_size(spark, monkeypatch, piece, parts):
+    monkeypatch.setattr(ngram_join, "PIECE_NUMBERS", piece)
+    monkeypatch.setattr(ngram_join, "LEAST_PARTS", parts)
+    rows = corpus(piece) + chained(5)
+    rows = [(i, *row[1:]) for i, row in enumerate(rows)]
+    assert result(ngram_join.near_duplicates(rows_of(spark, rows))) == sorted(brute(rows), key=str)
+
+
+def test_just_similar_and_just_not(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "FIRST_SHARE", 1)
+    words = [prose(i, 14).split() for i in range(4)]
+    # 8 of 10 shingles, and 7 of 10.
+    rows = [(1, " ".join(words[0]), "en", "s"), (2, " ".join(words[0][:12]), "en", "s")]
+    rows += [(3, " ".join(words[1]), "en", "s"), (4, " ".join(words[1][:11]), "en", "s")]
+    assert result(ngram_join.near_duplicates(rows_of(spark, rows))) == [(1, 10, 1), (2, 8, 1), (3, 10, 3), (4, 7, 4)]
+
+
+def test_numbers_written_as_differences():
+    import numpy as np
+
+    for values in ([], [5], [5, 5, 6], [0, 255, 256, 2**39, 2**40 - 1]):
+        values = np.array(values, dtype=np.uint64)
+        for start in (0, int(values[0]) if len(values) else 3):
+            data = ngram_join._written(values, start)
+            assert ngram_join._read(data, len(values), start).tolist() == values.tolist()
