@@ -36,7 +36,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -442,11 +442,17 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
 
 def deduplicated(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The documents, one of each component; all documents without words stay."""
-    kept = near_duplicates(docs, n, percent).where("kept").select("doc_id", "text_key", (F.col("n_shingles") == 0).alias("bare")).distinct()
+    # By the same columns, none of them null, documents are joined and repeated rows numbered: texts are dealt out once.
+    keys = ["text_key", "id", "no_id"]
+
+    def keyed(df: DataFrame) -> DataFrame:
+        return df.withColumns({"id": F.coalesce("doc_id", F.lit(0).cast("long")), "no_id": F.col("doc_id").isNull()}).drop("doc_id")
+
+    kept = near_duplicates(docs, n, percent).where("kept").select("doc_id", "text_key", (F.col("n_shingles") == 0).alias("bare"))
+    kept = keyed(kept).groupBy(*keys).agg(F.first("bare").alias("bare"))
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_key"))
-    same: Column = (F.col("d.text_key") == F.col("k.text_key")) & F.col("d.doc_id").eqNullSafe(F.col("k.doc_id"))
-    rows = rows.alias("d").join(kept.alias("k"), same).select("d.*", "k.bare")
+    rows = keyed(rows).join(kept, keys)
     # Rows repeated in id and text: the first by the other plain columns stands for them.
     plain = [field(f.name) for f in docs.schema.fields if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType))]
-    first = F.row_number().over(Window.partitionBy("text_key", "doc_id").orderBy(F.xxhash64(*plain)))
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(*plain)))
     return rows.withColumn("first", first).where("bare OR first = 1").select(*map(field, docs.columns))

@@ -5,6 +5,7 @@ import re
 
 import pytest
 from conftest_llm import prose, rows_of
+from physical import plan_of
 
 from playgauge.llm import ngram_join, trie
 
@@ -170,3 +171,15 @@ def test_numbers_written_as_differences():
         for start in (0, int(values[0]) if len(values) else 3):
             data = ngram_join._written(values, start)
             assert ngram_join._read(data, len(values), start).tolist() == values.tolist()
+
+
+def test_documents_kept_are_dealt_out_once(spark, odd):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(ngram_join.deduplicated(odd))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # Repeated rows are numbered where the join has put them.
+    between = plan[plan.index("Window ") : plan.index("SortMergeJoin")]
+    assert "Sort " in between and "Exchange" not in between
